@@ -75,6 +75,8 @@ _CHECKS = [
     ("birth_missing", "data_nasc", "true", "coalesce(data_nasc, '') = ''", 10, _NULL, _NULL, _NULL, "0"),
     ("birth_format", "data_nasc", "coalesce(data_nasc, '') <> ''", f"NOT {_shaped('data_nasc')}", 10, "data_nasc", _NULL, _NULL, "0"),
     ("year_mismatch", "data_ent", "ent IS NOT NULL AND coalesce(ID, '') <> ''", "strftime(ent, '%y') <> prefix", 20, "data_ent", "year(ent)", "prefix", "0"),
+    ("admission_unparseable", "data_ent", f"coalesce(ID, '') <> '' AND {_shaped('data_ent')}", "ent IS NULL", 10, "data_ent", _NULL, _NULL, "0"),
+    ("stay_unparseable", "data_alta", f"{_shaped('data_ent')} AND {_shaped('data_alta')}", "days IS NULL", 10, "data_alta", _NULL, "data_ent", "0"),
     ("discharge_before_admission", "data_alta", "days IS NOT NULL", "days < 0", 15, "data_alta", "days", "data_ent", "0"),
     ("long_stay", "data_alta", "days IS NOT NULL", "days > 60", 5, "data_alta", "days", "data_ent", "-days"),
     ("birth_too_old", "data_nasc", "birth_year IS NOT NULL", "birth_year < 1900", 10, "data_nasc", "birth_year", _NULL, "0"),
@@ -306,8 +308,6 @@ def _findings() -> str:
     parts = [
         f"""SELECT "column", "check", unnest(['scope_count', 'failed_count', 'failed_share']) AS metric,
   unnest([CAST(scope_count AS DOUBLE), CAST(failed_count AS DOUBLE), failed_share]) AS value FROM ({_counts()})""",
-        _metric("table", "shape", "rows", "count(*)", "der"),
-        _DATE_PAIRS,
         _metric("ID", "duplicates", "duplicate_rows", "coalesce(sum(n), 0)", _DUPLICATES),
         _metric("ID", "duplicates", "duplicate_keys", "count(*)", _DUPLICATES),
         _metric("ID", "duplicates", "duplicate_share", "round(coalesce(sum(n), 0) / (SELECT count(*) FROM enc), 6)", _DUPLICATES),
@@ -320,19 +320,6 @@ def _findings() -> str:
     return "\nUNION ALL ".join(parts)
 
 
-_DATE_PAIRS = "\nUNION ALL ".join(
-    [
-        _metric(
-            "data_ent", "year_mismatch", "unparseable",
-            f"count(*) FILTER (WHERE coalesce(ID, '') <> '' AND {_shaped('data_ent')} AND ent IS NULL)", "der",
-        ),
-        _metric(
-            "data_alta", "chronology", "valid_pairs",
-            f"count(*) FILTER (WHERE {_shaped('data_ent')} AND {_shaped('data_alta')})", "der",
-        ),
-        _metric("data_alta", "chronology", "parsed_pairs", "count(days)", "der"),
-    ]
-)
 _AGES = ("age_very_young", "age_very_old", "age_negative")
 _FREQUENCIES = "\nUNION ALL ".join(
     f"""SELECT '{c}' AS "column", value, count, share FROM ({_frequency(c, 'enc')})""" for c in ("sexo", "destino", "origem")
@@ -404,7 +391,8 @@ EXPECTED_SQL: dict[str, str] = {
   ANTI JOIN lineitem x ON r.l_orderkey = x.l_orderkey AND r.s = x.l_linenumber""",
     "date_format_check": counts("admission_format", "discharge_format", "birth_format"),
     "date_format_examples": examples("admission_format", "discharge_format", "birth_format"),
-    "date_pairs": der(f"{_metric('table', 'shape', 'rows', 'count(*)', 'der')} UNION ALL {_DATE_PAIRS}"),
+    "date_pairs": counts("admission_unparseable", "stay_unparseable"),
+    "impossible_dates": issues("admission_unparseable", "stay_unparseable"),
     "parsed_dates": der(
         "SELECT row_idx, ent AS admission, alta AS discharge, strftime(ent, '%d-%m-%Y') AS admission_text, strftime(ent, '%y') AS year_suffix FROM der"
     ),

@@ -14,6 +14,10 @@ from pyspark.sql import Column, functions as F
 # Fixed pattern: day-month-year, one or two digits, one or two digits, four digits.
 DATE_PATTERN = r"^[0-9]{1,2}-[0-9]{1,2}-[0-9]{4}$"
 
+_DAY_MONTH = r"^\s*[+]?0*([0-9]{1,2})\s*-\s*[+]?0*([0-9]{1,2})\s*-"
+_SHORT_YEAR = _DAY_MONTH + r"([0-9]{2})$"
+_ANY_YEAR = _DAY_MONTH + r"(?!.{2}$)\s*[+]?0*([1-9][0-9]{0,3})\s*$"
+
 
 def has_date_format(c: Column) -> Column:
     """True only for present text of the expected shape."""
@@ -44,23 +48,26 @@ def year_of(c: Column) -> Column:
     return year_text(c).try_cast("int")
 
 
+def parse_formatted(c: Column, well_formed: Column) -> Column:
+    """Date of text already known to have the right shape; null on a day that does not exist."""
+    iso = F.concat_ws("-", year_text(c), month_text(c), day_text(c))
+    return F.when(well_formed & ~c.endswith("-0000"), iso.try_cast("date"))
+
+
 def parse_date(c: Column) -> Column:
     """Strict parse: the right shape and a day that exists, else null."""
-    iso = F.concat_ws("-", year_text(c), month_text(c), day_text(c))
-    return F.when(c.rlike(DATE_PATTERN) & (year_text(c) != "0000"), iso.try_cast("date"))
+    return parse_formatted(c, c.rlike(DATE_PATTERN))
 
 
 def parse_date_lenient(c: Column) -> Column:
-    """Three dash-separated numbers; a two-character year means 20yy."""
-    dashes = F.length(c) - F.length(F.translate(c, "-", ""))
-    raw_year = year_text(c)
-    year = F.when(F.length(raw_year) == 2, F.concat(F.lit("20"), raw_year)).otherwise(raw_year).try_cast("int")
-    month, day = month_of(c), day_of(c)
-    iso = F.concat_ws(
-        "-", F.lpad(year.cast("string"), 4, "0"), month.cast("string"), day.cast("string")
+    """Three dash-separated numbers; a two-character year means 20yy.
+
+    Signs, spaces and leading zeros around the numbers do not matter.  A date
+    cast takes years of four to seven digits, so zeros in front are harmless.
+    """
+    return F.when(c.rlike(_SHORT_YEAR), F.regexp_replace(c, _SHORT_YEAR, "20$3-$2-$1").try_cast("date")).when(
+        c.rlike(_ANY_YEAR), F.regexp_replace(c, _ANY_YEAR, "000$3-$2-$1").try_cast("date")
     )
-    usable = (dashes == 2) & year.between(1, 9999) & month.between(1, 12) & day.between(1, 31)
-    return F.when(usable, iso.try_cast("date"))
 
 
 def format_date(d: Column) -> Column:

@@ -120,9 +120,15 @@ def _age_checks() -> list[Check]:
 
 
 def _stay_checks() -> list[Check]:
+    """Pairs of well-formed dates, and among them the pairs that can be read."""
     days = F.col("q_days")
     shown = {"value": F.col("data_alta"), "number": days, "against": F.col("data_ent")}
+    both = F.col("q_data_ent_ok") & F.col("q_data_alta_ok")
     return [
+        Check(
+            "stay_unparseable", "data_alta", days.isNull(), both,
+            value=F.col("data_alta"), against=F.col("data_ent"),
+        ),
         Check("discharge_before_admission", "data_alta", days < 0, days.isNotNull(), 15, **shown),
         Check("long_stay", "data_alta", days > LONG_STAY_DAYS, days.isNotNull(), 5, rank_key=-days, **shown),
     ]
@@ -141,6 +147,12 @@ def standard_checks(columns: Sequence[str], as_of: dt.date) -> list[Check]:
     out += _date_checks(have)
     if {"ID", "data_ent"} <= have:
         date = F.col("q_data_ent")
+        out.append(
+            Check(
+                "admission_unparseable", "data_ent", date.isNull(),
+                F.col("q_data_ent_ok") & is_present("ID"), value=F.col("data_ent"),
+            )
+        )
         out.append(
             Check(
                 "year_mismatch", "data_ent", year_suffix(date) != F.col("q_prefix"),
@@ -189,11 +201,17 @@ def count_checks(df: DataFrame, checks: Sequence[Check]) -> DataFrame:
 
 
 def list_issues(df: DataFrame, checks: Sequence[Check]) -> DataFrame:
-    """One row per failed check and source row; a projection, no shuffle."""
-    found = F.array_compact(F.array(*[F.when(c.fails(), c.issue()) for c in checks]))
+    """One row per failed check and source row; a projection, no shuffle.
+
+    A check that holds unfolds to a row of nulls, which is dropped: removing
+    it from the array first would take the array out of generated code.
+    """
+    found = F.array(*[F.when(c.fails(), c.issue()) for c in checks])
     shown_id = F.col("ID") if "ID" in df.columns else F.lit("Unknown")
-    return df.select("row_idx", shown_id.alias("id"), F.inline(found)).select(
-        "check", "column", "row_idx", "id", "value", "number", "against", "rank_key"
+    return (
+        df.select("row_idx", shown_id.alias("id"), F.inline(found))
+        .filter(F.col("check").isNotNull())
+        .select("check", "column", "row_idx", "id", "value", "number", "against", "rank_key")
     )
 
 

@@ -6,7 +6,7 @@ import datetime as dt
 
 from pyspark.sql import DataFrame, functions as F
 
-from joeira.functions.dates import age_from_text, has_date_format, parse_date, whole_days, year_of
+from joeira.functions.dates import age_from_text, has_date_format, parse_formatted, whole_days, year_of
 from joeira.functions.ids import year_prefix
 
 DATE_COLUMNS = ("data_ent", "data_alta", "data_nasc")
@@ -24,7 +24,7 @@ def derive(df: DataFrame, as_of: dt.date) -> DataFrame:
     well_formed = {f"q_{c}_ok": has_date_format(F.col(c)) for c in DATE_COLUMNS if c in have}
     out = out.withColumns(well_formed) if well_formed else out
 
-    dates = {f"q_{c}": parse_date(F.col(c)) for c in ("data_ent", "data_alta") if c in have}
+    dates = {f"q_{c}": parse_formatted(F.col(c), F.col(f"q_{c}_ok")) for c in ("data_ent", "data_alta") if c in have}
     if "data_nasc" in have:
         dates["q_birth_year"] = F.when(F.col("q_data_nasc_ok"), year_of(F.col("data_nasc")))
     out = out.withColumns(dates) if dates else out

@@ -36,9 +36,9 @@ def count_values(df: DataFrame, texts: Mapping[str, Column], numbers: Mapping[st
     ]
     return (
         df.select(F.inline(F.array(*entries)))
-        .filter(is_present("value") | F.col("number").isNotNull())
         .groupBy("kind", "value", "number")
         .agg(F.count("*").alias("n"))
+        .filter(is_present("value") | F.col("number").isNotNull())
     )
 
 
@@ -71,12 +71,16 @@ def number_stats(counted: DataFrame) -> DataFrame:
 
 
 def number_counts(df: DataFrame, kind: str, number: Column) -> DataFrame:
-    """``count_values`` for a single number column."""
+    """``count_values`` for a single number column.
+
+    The null group counts zero and is dropped afterwards: a filter before the
+    grouping would be pushed to the scan with all the parsing inside it.
+    """
     return (
         df.select(number.cast("bigint").alias("number"))
-        .filter(F.col("number").isNotNull())
         .groupBy("number")
-        .agg(F.count("*").alias("n"))
+        .agg(F.count("number").alias("n"))
+        .filter("n > 0")
         .withColumn("kind", F.lit(kind))
     )
 

@@ -31,6 +31,12 @@ def _blank_if_empty(df: DataFrame, name: str) -> Column:
     return F.when(c.isNull() & F.col(CORRUPT).isNull(), F.lit("")).otherwise(c)
 
 
+def _named(tests: list[tuple[Column, str]]) -> Column:
+    """Names of the tests that hold, in order."""
+    names = [F.when(test, F.lit(name)).otherwise(F.lit("")) for test, name in tests]
+    return F.array_remove(F.array(*names), "")
+
+
 def validate(
     df: DataFrame,
     years: YearRange | None = None,
@@ -70,17 +76,15 @@ def validate(
         *[is_present(_raw(df, c)).alias(f"_{c}") for c in (*DATES, "sexo")],
     )
     reasons = [
-        F.when(~is_present("ID"), F.lit(NO_ID)),
-        F.when(F.col("nome").isNull(), F.lit(NO_NAME)),
-        F.when(F.col("_bad_number"), F.lit(BAD_RECORD_NO)),
-    ]
-    warnings = [
-        F.when(F.col(f"_{c}") & F.col(c).isNull(), F.lit(f"{c}_unreadable")) for c in (*DATES, "sexo")
+        (~is_present("ID"), NO_ID),
+        (F.col("nome").isNull(), NO_NAME),
+        (F.col("_bad_number"), BAD_RECORD_NO),
     ]
+    warnings = [(F.col(f"_{c}") & F.col(c).isNull(), f"{c}_unreadable") for c in (*DATES, "sexo")]
     return typed.select(
         "row_idx", "ID", "processo", "nome", "data_ent", "data_alta", "destino", "sexo", "data_nasc", "origem",
-        F.array_compact(F.array(*reasons)).alias("reasons"),
-        F.array_compact(F.array(*warnings)).alias("warnings"),
+        _named(reasons).alias("reasons"),
+        _named(warnings).alias("warnings"),
         in_year_range(F.col("ID"), years).alias("in_filter"),
     )
 

@@ -197,10 +197,6 @@ def missing_lines(spark, sf_dir):
 # -- dates, stays, ages ----------------------------------------------------
 
 
-def date_pairs(spark, sf_dir):
-    return quality(spark, sf_dir, "ID", "data_ent", "data_alta").date_pairs
-
-
 def parsed_dates(spark, sf_dir):
     df = encounters(spark, sf_dir, ("row_idx", "data_ent", "data_alta"))
     ent = parse_date(F.col("data_ent"))
@@ -505,7 +501,8 @@ QUERIES: dict[str, Query] = {
     "missing_lines": missing_lines,
     "date_format_check": counted("admission_format", "discharge_format", "birth_format", columns=_DATES),
     "date_format_examples": exemplified("admission_format", "discharge_format", "birth_format", columns=("ID", *_DATES)),
-    "date_pairs": date_pairs,
+    "date_pairs": counted("admission_unparseable", "stay_unparseable", columns=_STAYS),
+    "impossible_dates": listed("admission_unparseable", "stay_unparseable", columns=_STAYS),
     "parsed_dates": parsed_dates,
     "year_consistency": counted("year_mismatch", columns=("ID", "data_ent")),
     "year_mismatch_rows": listed("year_mismatch", columns=("ID", "data_ent")),

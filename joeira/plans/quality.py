@@ -36,8 +36,7 @@ def _metric(column, check, metric, value):
 class QualityResult:
     """Every result of a run as a lazy frame.
 
-    Four passes over the rows give everything: one aggregate for all checks
-    and date pairs, one grouped count for all frequencies and statistics, one
+    Four passes over the rows give everything: one aggregate for all checks, one grouped count for all frequencies and statistics, one
     grouping by ID, and one listing of the failing rows.
     """
 
@@ -128,29 +127,6 @@ class QualityResult:
     def unusual_years(self) -> DataFrame:
         return unusual_years(self.rows, self.as_of)
 
-    @cached_property
-    def date_pairs(self) -> DataFrame:
-        """Date pairs by how far they can be read, and impossible dates."""
-        counters = {}
-        if self._has("data_ent", "ID"):
-            shaped = F.col("q_data_ent_ok") & F.col("ID").isNotNull() & (F.col("ID") != "")
-            counters["data_ent", "year_mismatch", "unparseable"] = shaped & F.col("q_data_ent").isNull()
-        if self._has("data_ent", "data_alta"):
-            pair = F.col("q_data_ent_ok") & F.col("q_data_alta_ok")
-            counters["data_alta", "chronology", "valid_pairs"] = pair
-            counters["data_alta", "chronology", "parsed_pairs"] = F.col("q_days").isNotNull()
-        named = [(f"c{i}", key, test) for i, (key, test) in enumerate(counters.items())]
-        return self.rows.agg(
-            F.count("*").alias("rows"), *[F.count_if(test).alias(n) for n, _, test in named]
-        ).select(
-            F.inline(
-                F.array(
-                    _metric(F.lit("table"), F.lit("shape"), "rows", F.col("rows")),
-                    *[_metric(F.lit(c), F.lit(k), m, F.col(n)) for n, (c, k, m), _ in named],
-                )
-            )
-        )
-
     @cached_property
     def findings(self) -> DataFrame:
         """Every figure of the run: column, check, metric, value."""
@@ -160,8 +136,7 @@ class QualityResult:
                 F.inline(
                     F.array(*[_metric(c, k, m, F.col(m)) for m in ("scope_count", "failed_count", "failed_share")])
                 )
-            ),
-            self.date_pairs,
+            )
         ]
         kinds = {kind: column for kind, (column, q) in STATISTICS.items() if q in self.rows.columns}
         if kinds:

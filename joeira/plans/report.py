@@ -10,7 +10,7 @@ from __future__ import annotations
 import datetime as dt
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from joeira.functions.values import percent
 
@@ -165,20 +165,17 @@ def _by_check(places: dict[str, tuple], index: int) -> Column:
     return F.try_element_at(F.create_map(*pairs), F.col("check"))
 
 
-def _example_lines(examples: DataFrame) -> list[DataFrame]:
+def _example_lines(examples: DataFrame) -> DataFrame:
+    """Lines showing examples, all from one look at the example table.
+
+    The few rows of a check are already in one task, so listing their line
+    numbers beside them moves nothing.
+    """
     line = (F.col("row_idx") + 2).cast("string")
-    sections = {check: (SECTION[column],) for check, (column, _) in _MISSING_CHECKS.items()}
-    row_lists = (
-        examples.filter(F.col("check").isin(*_MISSING_CHECKS) & (F.col("rank") <= 5))
-        .groupBy("check")
-        .agg(F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))).alias("lines"))
-        .select(
-            _by_check(sections, 0).alias("section"), F.lit(MISSING_ROWS).alias("part"),
-            F.lit(0).cast("bigint").alias("rank"),
-            F.concat(F.lit("  - Examples: Rows "), F.array_join(F.col("lines.line"), ", ")).alias("text"),
-        )
-    )
+    in_check = W.partitionBy("check").orderBy("rank").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    shown = examples.withColumn("lines", F.slice(F.collect_list(line).over(in_check), 1, 5))
     places = {check: (SECTION[column], part, shape) for check, (column, part, shape) in _EXAMPLES.items()}
+    places |= {check: (SECTION[column], MISSING_ROWS, "rows") for check, (column, _) in _MISSING_CHECKS.items()}
     shape, who = _by_check(places, 2), F.concat(F.lit("  - ID '"), F.coalesce("id", F.lit("")), F.lit("'"))
     text = (
         F.when(shape == "date", F.concat(who, F.lit(" has date '"), F.col("value"), F.lit("'")))
@@ -190,14 +187,15 @@ def _example_lines(examples: DataFrame) -> list[DataFrame]:
             )
         )
     )
-    single = examples.filter(F.col("check").isin(*_EXAMPLES) & (F.col("rank") <= 3)).select(
+    row_list = F.concat(F.lit("  - Examples: Rows "), F.array_join("lines", ", "))
+    wanted = F.when(shape == "rows", F.col("rank") == 1).otherwise(F.col("rank") <= 3)
+    return shown.filter(wanted).select(
         _by_check(places, 0).alias("section"), _by_check(places, 1).alias("part"),
-        F.col("rank").cast("bigint").alias("rank"), text.alias("text"),
-    )
-    return [row_lists, single]
+        F.col("rank").cast("bigint").alias("rank"), F.when(shape == "rows", row_list).otherwise(text).alias("text"),
+    ).filter(F.col("section").isNotNull())
 
 
-def _head_lines(q, file_name: str, written_at: dt.datetime) -> DataFrame:
+def _head_lines(file_name: str, written_at: dt.datetime) -> list[Column]:
     n = F.format_string("%,d", F.col("filtered_records"))
     total = F.format_string("%,d", F.col("total_records"))
     span = (
@@ -217,16 +215,16 @@ def _head_lines(q, file_name: str, written_at: dt.datetime) -> DataFrame:
                      percent(F.col("kept_share"), 1), F.lit(")")),
         ).otherwise("**Scope:** Full database (no filters applied)"),
     ]
-    return q.filter_info.select(F.inline(F.array(*[_line(0, 0, t, i) for i, t in enumerate(texts)])))
+    return [_line(0, 0, t, i) for i, t in enumerate(texts)]
 
 
-def _file_lines(q) -> DataFrame:
+def _opening_lines(q, file_name: str, written_at: dt.datetime) -> DataFrame:
+    """Heading and file section, from the filter summary and the file profile."""
     s, p = SECTION["file"], q.profile
     names = [c for c in q.source.columns if c != "row_idx"]
-    rows = q.filter_info.select("filtered_records")
-    known = rows if p is None else rows.withColumns(
-        {c: p.select(c).scalar() for c in ("file_name", "file_path", "file_size_kb")}
-    )
+    known = q.filter_info
+    if p is not None:
+        known = known.withColumns({c: p.select(c).scalar() for c in ("file_name", "file_path", "file_size_kb")})
     texts = [F.lit(""), F.lit(f"## {TITLES['file']}"), F.lit("")]
     if p is not None:
         texts += [
@@ -240,7 +238,8 @@ def _file_lines(q) -> DataFrame:
         F.lit(""),
         F.lit(f"**Columns:** {', '.join(names)}"),
     ]
-    return known.select(F.inline(F.array(*[_line(s, 0, t, i) for i, t in enumerate(texts)])))
+    file_lines = [_line(s, 0, t, i) for i, t in enumerate(texts)]
+    return known.select(F.inline(F.array(*_head_lines(file_name, written_at), *file_lines)))
 
 
 def _id_lines(q) -> list[DataFrame]:
@@ -289,11 +288,11 @@ def report_lines(q, file_name: str = "", written_at: dt.datetime | None = None)
             F.collect_list(F.struct(F.concat_ws(".", check, "metric").alias("k"), F.coalesce("value", F.lit(0.0)).alias("v")))
         ).alias("figures")
     )
-    parts = [_head_lines(q, file_name, written_at), _file_lines(q)]
+    parts = [_opening_lines(q, file_name, written_at)]
     lines = _figure_lines(_Figures(have))
     if lines:
         parts.append(figures.select(F.inline(F.array(*lines))))
-    parts += _example_lines(q.examples)
+    parts.append(_example_lines(q.examples))
     if "ID" in have:
         parts += _id_lines(q)
     if have & {"sexo", "destino", "origem"}:
