@@ -322,7 +322,8 @@ def _findings() -> str:
 
 _AGES = ("age_very_young", "age_very_old", "age_negative")
 _FREQUENCIES = "\nUNION ALL ".join(
-    f"""SELECT '{c}' AS "column", value, count, share FROM ({_frequency(c, 'enc')})""" for c in ("sexo", "destino", "origem")
+    f"""SELECT '{c}' AS "column", {c} AS value, count(*) AS count, count(*) / sum(count(*)) OVER () AS share
+FROM enc WHERE coalesce({c}, '') <> '' GROUP BY {c}""" for c in ("sexo", "destino", "origem")
 )
 
 EXPECTED_SQL: dict[str, str] = {

@@ -49,7 +49,7 @@ def frequencies(counted: DataFrame, kinds: list[str]) -> DataFrame:
     # One total per column name, so the small side has at most len(kinds) rows.
     return mine.join(F.broadcast(totals), "kind").select(
         F.col("kind").alias("column"), "value", F.col("n").alias("count"),
-        F.round(F.col("n") / F.col("total"), 6).alias("share"),
+        (F.col("n") / F.col("total")).alias("share"),
     )
 
 

@@ -11,12 +11,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
 from joeira.functions.ids import serial_from_id, year_prefix
 
 # Block widths as powers of two; the last step takes the group as a whole.
 BLOCK_BITS = (21, 42, None)
+INT_BLOCK_BITS = (21, None)
 # Missing numbers are unfolded from a gap this many at a time.
 LIST_CHUNK = 65_536
 
@@ -68,7 +69,7 @@ def gap_ranges(df: DataFrame, group: str = "year", number: str = "serial") -> Da
         .select(group, F.col(number).cast("bigint").alias("lo"), F.col(number).cast("bigint").alias("hi"))
     )
     found = []
-    for bits in BLOCK_BITS:
+    for bits in INT_BLOCK_BITS if isinstance(df.schema[number].dataType, T.IntegerType) else BLOCK_BITS:
         block = [] if bits is None else ["_block"]
         placed = spans if bits is None else spans.withColumn("_block", F.shiftright("lo", bits))
         following = F.lead("lo").over(W.partitionBy(group, *block).orderBy("lo"))

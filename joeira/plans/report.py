@@ -12,7 +12,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from joeira.functions.values import percent
+from joeira.functions.values import percent, share
 
 TITLES = {
     "file": "File Analysis",
@@ -74,12 +74,15 @@ class _Figures:
     def count(self, check: str, metric: str = "failed_count") -> Column:
         return self.get(check, metric).cast("bigint")
 
+    def percent_of(self, part: Column, whole: Column) -> Column:
+        return percent(share(part, whole))
+
     def counted(self, label: str, check: str, none_line: bool = True, with_share: bool = False) -> Column:
         """``- **label:** n (p)``; ``None`` or no line at all when n is 0."""
         n = self.count(check)
         shown = F.concat(F.lit(f"- **{label}:** "), n.cast("string"))
         if with_share:
-            shown = F.concat(shown, F.lit(" ("), percent(self.get(check, "failed_share")), F.lit(")"))
+            shown = F.concat(shown, F.lit(" ("), self.percent_of(n, self.count(check, "scope_count")), F.lit(")"))
         nothing = F.lit(f"- **{label}:** None") if none_line else F.lit(None).cast("string")
         return F.when(n > 0, shown).otherwise(nothing)
 
@@ -92,7 +95,7 @@ def _figure_lines(f: _Figures) -> list[Column]:
 
     if "ID" in f.have:
         n = f.count("duplicates", "duplicate_rows")
-        p = percent(f.get("duplicates", "duplicate_share"))
+        p = f.percent_of(n, f.count("id_missing", "scope_count"))
         out.append(
             _line(
                 SECTION["ID"], SECOND,
