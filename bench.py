@@ -59,7 +59,7 @@ def grow(spark, sf_dir: str, times: int) -> str:
                 n = df.count()
                 df = df.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(times - 1)))).withColumn(
                     "o_orderkey", F.col("o_orderkey") + F.col("copy") * n
-                ).drop("copy")
+                ).drop("copy").repartition(16)  # one file would be read by one task
             df.write.mode("overwrite").parquet(f"{out}/{name}.parquet")
     return out
 

@@ -326,6 +326,118 @@ _FREQUENCIES = "\nUNION ALL ".join(
 FROM enc WHERE coalesce({c}, '') <> '' GROUP BY {c}""" for c in ("sexo", "destino", "origem")
 )
 
+# -- report ------------------------------------------------------------------
+
+
+def _text_line(section: int, part: int, rank: str, text: str, source: str, where: str = "true") -> str:
+    return f"SELECT {section} AS section, {part} AS part, CAST({rank} AS BIGINT) AS rank, {text} AS text FROM {source} WHERE {where}"
+
+
+def _percent(part: str, whole: str) -> str:
+    return f"printf('%.2f%%', coalesce(CAST({part} AS DOUBLE) / nullif({whole}, 0), 0) * 100)"
+
+
+def _fixed_text(section: int, part: int, *texts: str, first: int = 0) -> list[str]:
+    return [_text_line(section, part, str(i), f"'{t}'", "(SELECT 1)") for i, t in enumerate(texts, start=first)]
+
+
+def _counted_line(section: int, part: int, label: str, check: str, none_line: bool, with_share: bool, rank: int = 0, dash: str = "- ") -> str:
+    shown = f"concat('{dash}**{label}:** ', failed_count"
+    shown += f", ' (', {_percent('failed_count', 'scope_count')}, ')')" if with_share else ")"
+    text = f"CASE WHEN failed_count > 0 THEN {shown} ELSE '- **{label}:** None' END" if none_line else shown
+    where = f""""check" = '{check}'""" + ("" if none_line else " AND failed_count > 0")
+    return _text_line(section, part, str(rank), text, "counted", where)
+
+
+def _shown(section: int, part: int, check: str, text: str) -> str:
+    return _text_line(section, part, "rank", text, "shown", f""""check" = '{check}' AND rank <= 3""")
+
+
+def _report() -> str:
+    who = "'  - ID ''', coalesce(id, ''), ''''"
+    dated, valued = f"concat({who}, ' has date ''', value, '''')", f"concat({who}, ' has value ''', value, '''')"
+    columns = "ID, processo, nome, data_ent, data_alta, destino, sexo, data_nasc, origem"
+    out = _fixed_text(0, 0, "# Quality Control Report - 2000-06-30 00:00", "", "**File:** orders", "")
+    out += _fixed_text(0, 0, "**Scope:** Full database (no filters applied)", first=5)
+    out += _fixed_text(1, 0, "", "## File Analysis", "")
+    out.append(_text_line(1, 0, "3", "concat('- **Total Rows:** ', (SELECT count(*) FROM enc))", "(SELECT 1)"))
+    out += _fixed_text(1, 0, "- **Total Columns:** 9", "", f"**Columns:** {columns}", first=4)
+    titles = ["ID", "Admission Date", "Discharge Date", "Birth Date", "Processo", "Nome", "Sexo", "Destino", "Origem"]
+    for section, title in enumerate(titles, start=2):
+        out += _fixed_text(section, 0, "", f"## {title} Analysis", "")
+    missing = {
+        2: ("id_missing", "IDs"), 3: ("admission_missing", "Dates"), 5: ("birth_missing", "Dates"),
+        6: ("processo_missing", "Values"), 7: ("nome_missing", "Values"), 8: ("sexo_missing", "Values"),
+        9: ("destino_missing", "Values"), 10: ("origem_missing", "Values"),
+    }
+    for section, (check, what) in missing.items():
+        out.append(_counted_line(section, 1, f"Missing {what}", check, True, True))
+        out.append(
+            f"""SELECT {section}, 2, CAST(1 AS BIGINT), concat('  - Examples: Rows ', string_agg(CAST(row_idx + 2 AS VARCHAR), ', ' ORDER BY rank))
+FROM shown WHERE "check" = '{check}' AND rank <= 5 HAVING count(*) > 0"""
+        )
+    # IDs
+    out.append(
+        f"""SELECT 2, 3, CAST(0 AS BIGINT), CASE WHEN count(*) = 0 THEN '- **Duplicate IDs:** None'
+  ELSE concat('- **Duplicate IDs:** ', CAST(sum(n) AS BIGINT), ' (', {_percent('sum(n)', '(SELECT count(*) FROM enc)')}, ')') END FROM {_DUPLICATES}"""
+    )
+    out.append(
+        f"""SELECT 2, 4, first_row, concat('  - ID ''', ID, ''' in rows: ', lines, CASE WHEN n > shown THEN concat(', ... (', n - shown, ' more)') ELSE '' END) FROM (
+  SELECT d.ID, n, first_row, count(*) AS shown, string_agg(CAST(row_idx + 2 AS VARCHAR), ', ' ORDER BY row_idx) AS lines FROM (
+    SELECT ID, row_idx, row_number() OVER (PARTITION BY ID ORDER BY row_idx) AS r FROM enc) e
+  JOIN (SELECT * FROM {_DUPLICATES} ORDER BY first_row LIMIT 3) d ON e.ID = d.ID WHERE r <= 10 GROUP BY d.ID, n, first_row)"""
+    )
+    out += _fixed_text(
+        2, 5, "", "**ID Sequence Analysis by Year:**", "| Year | Count | Min Serial | Max Serial | Missing Values |",
+        "|------|-------|------------|------------|----------------|",
+    )
+    out.append(
+        f"""SELECT 2, 9, CAST(ascii(year) AS BIGINT) * 1200000 + ascii(substr(year, 2, 1)), concat('| ', year, ' | ', count, ' | ',
+  coalesce(CAST(min_serial AS VARCHAR), 'N/A'), ' | ', coalesce(CAST(max_serial AS VARCHAR), 'N/A'), ' | ', coalesce(missing_count, 0), ' |')
+FROM ({_sequence('year', 'serial', _SERIALS)})"""
+    )
+    out += _fixed_text(2, 10, "", "**ID Pattern Consistency:**")
+    bad = "CASE WHEN failed_count > 0 THEN concat('- Invalid IDs: ', failed_count) ELSE '- All IDs follow the expected pattern.' END"
+    out.append(_text_line(2, 10, "2", bad, "counted", """"check" = 'id_pattern'"""))
+    out.append(_shown(2, 11, "id_pattern", f"concat({who}, ' in row ', row_idx + 2)"))
+    # dates
+    for section, label in ((3, "admission"), (4, "discharge"), (5, "birth")):
+        out.append(_counted_line(section, 3, "Invalid Date Formats", f"{label}_format", True, False))
+        out.append(_shown(section, 4, f"{label}_format", dated))
+    pair = f"concat({who}, ' has admission ''', against, ''' and discharge ''', value, '''')"
+    for section, part, label, check, text in (
+        (4, 5, "Chronology Errors", "discharge_before_admission", pair),
+        (5, 5, "Unusually Old Dates", "birth_too_old", dated),
+        (5, 7, "Future Dates", "birth_in_future", dated),
+    ):
+        out.append(_counted_line(section, part, label, check, False, False))
+        out.append(_shown(section, part + 1, check, text))
+    ages = [
+        "''", "'**Age Statistics:**'", "printf('- Mean Age: %.1f', avg(age))",
+        "printf('- Median Age: %.1f', CAST(median(age) AS DOUBLE))", "concat('- Min Age: ', min(age))", "concat('- Max Age: ', max(age))",
+    ]
+    out += [f"SELECT 5, 10, CAST({i} AS BIGINT), {t} FROM der HAVING count(age) > 0" for i, t in enumerate(ages)]
+    # values
+    out.append(_counted_line(6, 3, "Invalid Values", "processo_invalid", True, True))
+    out.append(_shown(6, 4, "processo_invalid", valued))
+    for section, c in ((8, "sexo"), (9, "destino"), (10, "origem")):
+        out += [
+            f"SELECT {section}, 3, CAST({i} AS BIGINT), '{t}' FROM enc HAVING count(nullif({c}, '')) > 0"
+            for i, t in enumerate(("", "**Value Frequencies:**"))
+        ]
+        out.append(
+            f"""SELECT {section}, 4, -count(*), concat('- ', {c}, ': ', count(*), ' (', {_percent('count(*)', 'sum(count(*)) OVER ()')}, ')')
+FROM enc WHERE coalesce({c}, '') <> '' GROUP BY {c}"""
+        )
+    out.append(_text_line(8, 10, "0", "''", "counted", """"check" = 'sexo_unexpected' AND failed_count > 0"""))
+    out.append(_counted_line(8, 10, "Unexpected Values", "sexo_unexpected", False, True, 1, dash=""))
+    out.append(_shown(8, 11, "sexo_unexpected", valued))
+    lines = "\nUNION ALL ".join(out)
+    return f"""WITH {DER}, counted AS ({_counts()}),
+shown AS (SELECT *, row_number() OVER (PARTITION BY "check" ORDER BY rank_key, row_idx) AS rank FROM ({_issues()}))
+SELECT section, part, rank, text FROM ({lines})"""
+
+
 EXPECTED_SQL: dict[str, str] = {
     "encounters": enc("SELECT * FROM enc"),
     "year_filter_single": enc("SELECT row_idx, ID, data_ent FROM enc WHERE ID LIKE '99%'"),
@@ -433,6 +545,7 @@ EXPECTED_SQL: dict[str, str] = {
     "check_examples": examples(),
     "issues": issues(),
     "findings": der(_findings()),
+    "report_lines": _report(),
     "pad_ids": enc(
         "SELECT row_idx, CASE WHEN length(processo) < 4 THEN lpad(processo, 4, '0') ELSE processo END AS padded FROM enc"
     ),

@@ -11,8 +11,8 @@ from compare import compare, connect
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not Path(SF_DIR).exists(), reason="no test data here")
 
-# No SQL twin: file sizes, report text and the JSON form of every type.
-WITHOUT_SQL = {"table_profile", "table_stats_all", "report_lines"}
+# No SQL twin: file sizes and the JSON form of every type.
+WITHOUT_SQL = {"table_profile", "table_stats_all"}
 
 
 @pytest.fixture(scope="module")
