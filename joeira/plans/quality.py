@@ -175,6 +175,10 @@ class QualityResult:
             )
         return reduce(DataFrame.unionByName, parts)
 
+    def exit_code(self) -> int:
+        """0, or 1 when the year filter leaves no rows."""
+        return 0 if self.filter_info.first().filtered_records else 1
+
     def report(self, file_name: str = "", written_at: dt.datetime | None = None) -> DataFrame:
         from joeira.plans.report import report_lines
 

@@ -133,6 +133,7 @@ def test_input_is_not_changed(frame):
 def test_year_filter_applies_to_everything_but_the_summary(frame):
     q = run_quality(frame("ID", ["2501", "2501", "2401", None]), AS_OF, "25")
     assert q.filter_info.first().total_records == 4
+    assert q.exit_code() == 0 and run_quality(frame("ID", ["2501"]), AS_OF, "19").exit_code() == 1
     assert counts(q)["id_missing"] == (2, 0)
     with pytest.raises(ValueError):
         run_quality(frame("ID", ["2501"]), AS_OF, "x").rows
