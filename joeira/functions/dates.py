@@ -64,9 +64,13 @@ def parse_date_lenient(c: Column) -> Column:
 
     Signs, spaces and leading zeros around the numbers do not matter.  A date
     cast takes years of four to seven digits, so zeros in front are harmless.
+    Text of the strict shape, nearly all of it, never reaches those patterns.
     """
-    return F.when(c.rlike(_SHORT_YEAR), F.regexp_replace(c, _SHORT_YEAR, "20$3-$2-$1").try_cast("date")).when(
-        c.rlike(_ANY_YEAR), F.regexp_replace(c, _ANY_YEAR, "000$3-$2-$1").try_cast("date")
+    iso = F.concat_ws("-", year_text(c), month_text(c), day_text(c))
+    return (
+        F.when(c.rlike(DATE_PATTERN) & ~c.endswith("-0000"), iso.try_cast("date"))
+        .when(c.rlike(_SHORT_YEAR), F.regexp_replace(c, _SHORT_YEAR, "20$3-$2-$1").try_cast("date"))
+        .when(c.rlike(_ANY_YEAR), F.regexp_replace(c, _ANY_YEAR, "000$3-$2-$1").try_cast("date"))
     )
 
 

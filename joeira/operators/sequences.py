@@ -89,16 +89,18 @@ def gap_ranges(df: DataFrame, group: str = "year", number: str = "serial") -> Da
 
 
 def missing_numbers(gaps: DataFrame, group: str = "year") -> DataFrame:
-    """Every missing number, one per row, unfolded in bounded pieces."""
+    """Every missing number, one per row, unfolded in bounded pieces.
+
+    A gap is cut into pieces first and the pieces are spread over all tasks,
+    so that one very long gap is not written out by a single task.
+    """
+    spread = int(gaps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     starts = F.explode(F.sequence("gap_start", "gap_end", F.lit(LIST_CHUNK).cast("bigint")))
+    last = F.least(F.col("_start") + LIST_CHUNK - 1, F.col("gap_end"))
     return (
         gaps.select(group, "gap_end", starts.alias("_start"))
-        .select(
-            group,
-            F.explode(
-                F.sequence("_start", F.least(F.col("_start") + LIST_CHUNK - 1, F.col("gap_end")))
-            ).alias("missing_serial"),
-        )
+        .repartition(spread, "_start")
+        .select(group, F.explode(F.sequence("_start", last)).alias("missing_serial"))
     )
 
 

@@ -27,6 +27,10 @@ def local(cores: int | str = "*", memory: str = "16g", partitions: int = 8) -> S
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.session.timeZone", "UTC")
+        # Plans here are built from very many small expressions: recording where
+        # in the Python code each was made takes longer than making it.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
+        .config("spark.sql.dataFrameQueryContext.enabled", "false")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()

@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 from hypothesis import HealthCheck, given, settings, strategies as st
 
 from joeira.operators import sequences as seq
@@ -49,6 +50,8 @@ def test_a_long_gap_is_listed_whole(spark):
     df = spark.createDataFrame([("25", 1), ("25", 200_003)], "year string, serial bigint")
     listed = seq.missing_numbers(seq.gap_ranges(df))
     assert (listed.count(), listed.distinct().count()) == (200_001, 200_001)
+    sizes = [r["count"] for r in listed.groupBy(F.spark_partition_id()).count().collect()]
+    assert max(sizes) < 200_001
 
 
 @settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])

@@ -67,6 +67,13 @@ def test_row_numbers_run_on_over_files(spark, tmp_path, small_splits):
     assert df.agg(F.countDistinct("row_idx"), F.min("row_idx"), F.max("row_idx")).first()[0:3] == (start, 0, start - 1)
 
 
+def test_row_numbers_without_broadcast(spark, tmp_path, small_splits, monkeypatch):
+    monkeypatch.setattr("joeira.sources.rownum.BROADCAST_SPLITS", 0)
+    path = save(tmp_path, "a.csv", "ID\n" + "\n".join(str(i) for i in range(2000)) + "\n")
+    df = read_quality_csv(spark, path)
+    assert df.filter(F.col("row_idx") == F.col("ID").cast("bigint")).count() == 2000
+
+
 def test_row_numbers_stay_after_a_filter(spark, tmp_path):
     path = save(tmp_path, "a.csv", "ID\na\nb\nc\n")
     assert read_quality_csv(spark, path).filter("ID = 'c'").first().row_idx == 2
