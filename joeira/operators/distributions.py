@@ -53,23 +53,33 @@ def frequencies(counted: DataFrame, kinds: list[str]) -> DataFrame:
     )
 
 
-def number_stats(counted: DataFrame) -> DataFrame:
-    """Count, mean, exact median and extremes per kind from value counts."""
-    n = F.col("n")
+def summarise(counted: DataFrame) -> DataFrame:
+    """Per kind: number of different texts, and the statistics of its numbers.
+
+    Both come from one grouping, since filtering the counts twice would read
+    the rows behind them twice.
+    """
+    n = F.when(F.col("number").isNotNull(), F.col("n"))
+    texts = F.count("value") if "value" in counted.columns else F.lit(0)
     return (
-        counted.filter(F.col("number").isNotNull())
-        .groupBy("kind")
+        counted.groupBy("kind")
         .agg(
+            texts.alias("unique_count"),
             F.sum(n).alias("count"),
             (F.sum(F.col("number") * n) / F.sum(n)).alias("mean"),
-            F.percentile("number", F.lit(0.5), n).alias("median"),
+            F.percentile("number", F.lit(0.5), F.col("n")).alias("median"),
             F.min("number").alias("min"),
             F.max("number").alias("max"),
         )
-        .select("kind", "count", F.round("mean", 6).alias("mean"), "median", "min", "max")
+        .withColumn("mean", F.round("mean", 6))
     )
 
 
+def number_stats(counted: DataFrame) -> DataFrame:
+    """Count, mean, exact median and extremes of every kind that has numbers."""
+    return summarise(counted).filter("count > 0").drop("unique_count")
+
+
 def number_counts(df: DataFrame, kind: str, number: Column) -> DataFrame:
     """``count_values`` for a single number column.
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from joeira.functions.dates import as_of_date
 from joeira.operators.checks import Check, count_checks, first_examples, list_issues, standard_checks
 from joeira.operators.derive import derive
-from joeira.operators.distributions import age_histogram, count_values, frequencies, number_stats
+from joeira.operators.distributions import age_histogram, count_values, frequencies, number_stats, summarise
 from joeira.operators.duplicates import duplicate_keys, duplicate_rows, duplicate_summary, first_duplicates
 from joeira.operators.profile import table_profile
 from joeira.operators.filters import filter_by_year, filter_summary
@@ -138,27 +138,18 @@ class QualityResult:
                 )
             )
         ]
-        kinds = {kind: column for kind, (column, q) in STATISTICS.items() if q in self.rows.columns}
-        if kinds:
-            column = F.element_at(F.create_map(*[F.lit(x) for pair in kinds.items() for x in pair]), F.col("kind"))
-            parts.append(
-                self.statistics.select(
-                    F.inline(
-                        F.array(
-                            *[
-                                _metric(column, F.concat(F.col("kind"), F.lit("_stats")), m, F.col(m))
-                                for m in ("count", "mean", "median", "min", "max")
-                            ]
-                        )
-                    )
-                )
+        counted = {c: (c, "frequency") for c in CATEGORIES if self._has(c)}
+        counted |= {kind: (column, f"{kind}_stats") for kind, (column, q) in STATISTICS.items() if q in self.rows.columns}
+        if counted:
+            of, by = (
+                F.element_at(F.create_map(*[F.lit(x) for kind, place in counted.items() for x in (kind, place[i])]), F.col("kind"))
+                for i in (0, 1)
             )
-        if any(self._has(x) for x in CATEGORIES):
+            metrics = [_metric(of, by, m, F.col(m)) for m in ("count", "mean", "median", "min", "max")]
+            unique = F.when(F.col("kind").isin(*CATEGORIES), F.col("unique_count"))
+            metrics.append(_metric(of, by, "unique_count", unique))
             parts.append(
-                self.value_counts.filter(F.col("value").isNotNull())
-                .groupBy("kind")
-                .agg(F.count("*").alias("n"))
-                .select(F.inline(F.array(_metric(F.col("kind"), F.lit("frequency"), "unique_count", F.col("n")))))
+                summarise(self.value_counts).select(F.inline(F.array(*metrics))).filter(F.col("value").isNotNull())
             )
         if self._has("ID"):
             parts.append(
