@@ -29,6 +29,12 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from joeira.llm.simhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), radius=2, size=3)
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Listed here are the URLs that some page was reached by through a feed."""
     from joeira.llm.url_filter import filter_urls
@@ -57,6 +63,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_simhash": op1_simhash,
     "op4_url_filter": op4_url_filter,
     "op8_licenses": op8_licenses,
     "op9_token_counts": op9_token_counts,
