@@ -35,6 +35,13 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), radius=2, size=3)
 
 
+def op2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text's piece identifiers, what they decode to, and whether that is the text."""
+    from joeira.llm.pieces import encode
+
+    return encode(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), decoded=True)
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Listed here are the URLs that some page was reached by through a feed."""
     from joeira.llm.url_filter import filter_urls
@@ -44,6 +51,12 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(pages, listed, URL_RULES)
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from joeira.llm.quality import classify
+
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     from joeira.llm.licenses import scan_licenses
 
@@ -64,7 +77,9 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_simhash": op1_simhash,
+    "op2_pieces": op2_pieces,
     "op4_url_filter": op4_url_filter,
+    "op5_quality": op5_quality,
     "op8_licenses": op8_licenses,
     "op9_token_counts": op9_token_counts,
     "op10_mixing": op10_mixing,
