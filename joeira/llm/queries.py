@@ -57,6 +57,12 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from joeira.llm.repeats import repeats_report
+
+    return repeats_report(table(spark, sf_dir, "documents"))
+
+
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     from joeira.llm.licenses import scan_licenses
 
@@ -80,6 +86,7 @@ QUERIES: dict[str, Query] = {
     "op2_pieces": op2_pieces,
     "op4_url_filter": op4_url_filter,
     "op5_quality": op5_quality,
+    "op7_repeats": op7_repeats,
     "op8_licenses": op8_licenses,
     "op9_token_counts": op9_token_counts,
     "op10_mixing": op10_mixing,
