@@ -42,6 +42,12 @@ def op2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), decoded=True)
 
 
+def op3_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from joeira.llm.embedding_dedup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"), cosine=0.93)
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Listed here are the URLs that some page was reached by through a feed."""
     from joeira.llm.url_filter import filter_urls
@@ -84,6 +90,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_simhash": op1_simhash,
     "op2_pieces": op2_pieces,
+    "op3_embeddings": op3_embeddings,
     "op4_url_filter": op4_url_filter,
     "op5_quality": op5_quality,
     "op7_repeats": op7_repeats,
