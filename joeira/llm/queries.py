@@ -63,6 +63,12 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from joeira.llm.nearest import search
+
+    return search(table(spark, sf_dir, "embeddings"), lambda i: i % 100 == 0, k=10)
+
+
 def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     from joeira.llm.repeats import repeats_report
 
@@ -93,6 +99,7 @@ QUERIES: dict[str, Query] = {
     "op3_embeddings": op3_embeddings,
     "op4_url_filter": op4_url_filter,
     "op5_quality": op5_quality,
+    "op6_nearest": op6_nearest,
     "op7_repeats": op7_repeats,
     "op8_licenses": op8_licenses,
     "op9_token_counts": op9_token_counts,
