@@ -2,4 +2,106 @@
 
 from __future__ import annotations
 
-EXPECTED_SQL: dict[str, str] = {}
+from joeira.llm.common import UPPER
+from joeira.llm.licenses import COVERAGE, LONGER, NEAR, NOTICES, PHRASES
+from joeira.llm.queries import MIX_BLOCK, MIX_DEFAULT, MIX_WEIGHTS, URL_RULES
+from joeira.llm.url_filter import TRACKING
+
+LOWER = UPPER.lower()
+
+
+def _text(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def _url_filter() -> str:
+    rules = sorted(URL_RULES, key=lambda r: (-len(r[1] + r[2]), r[1] + r[2]))
+    fits = [f"(host = {_text(h)} OR ends_with(host, {_text('.' + h)})) AND starts_with(path, {_text(p)})" for _, h, p in rules]
+    rule = " ".join(f"WHEN {f} THEN {_text(h + p)}" for f, (_, h, p) in zip(fits, rules))
+    said = " ".join(f"WHEN {f} THEN {_text(v)}" for f, (v, _, _) in zip(fits, rules))
+    return f"""
+WITH cut AS (
+  SELECT page_id, url, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+parts AS (
+  SELECT page_id, url, translate(regexp_extract(rest, '^([^/?#]*)', 1), '{UPPER}', '{LOWER}') AS host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path, regexp_extract(rest, '^[^?#]*\\?([^#]*)', 1) AS query FROM cut),
+asked AS (
+  SELECT *, array_to_string(list_sort([p for p in string_split(query, '&') IF p <> '' AND NOT regexp_matches(p, '^(?:{TRACKING})(?:=|$)')]), '&') AS kept FROM parts),
+canon AS (
+  SELECT *, CASE WHEN host <> '' THEN regexp_replace(regexp_replace(host, ':(80|443)$', ''), '^www\\.', '')
+    || regexp_replace(path, '/+$', '') || CASE WHEN kept <> '' THEN '?' || kept ELSE '' END END AS canon FROM asked),
+judged AS (
+  SELECT page_id, host, path, CASE {rule} END AS rule, CASE {said} END AS said,
+    coalesce(canon IN (SELECT canon FROM canon WHERE contains(url, 'utm_source=') AND canon IS NOT NULL), false) AS on_list FROM canon)
+SELECT page_id, host, path, rule, coalesce(said, CASE WHEN on_list THEN 'block' ELSE 'allow' END) AS verdict,
+  said IS NULL AND on_list AS listed
+FROM judged"""
+
+
+def _licenses() -> str:
+    rows = []
+    for base, templates in ((True, PHRASES), (False, NOTICES)):
+        for text, label in templates.items():
+            words = text.split()
+            rows += [f"({_text(a + ' ' + b)}, {_text(str(int(base)) + text)}, {_text(label)}, {base}, {i}, {len(words) - 1})" for i, (a, b) in enumerate(zip(words, words[1:]))]
+    return f"""
+WITH templates(pair, template, label, base, t_pos, n_grams) AS (VALUES {", ".join(rows)}),
+texts AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+grams AS (
+  SELECT doc_id, pos, w[pos + 1] || ' ' || w[pos + 2] AS pair FROM (SELECT doc_id, w, unnest(range(len(w) - 1)) AS pos FROM texts)),
+votes AS (SELECT doc_id, template, label, base, n_grams, t_pos, pos - t_pos AS diagonal FROM grams JOIN templates USING (pair)),
+diagonals AS (
+  SELECT doc_id, template, label, base, n_grams, diagonal, count(*) AS votes, min(t_pos) AS t_first, max(t_pos) AS t_last, list(t_pos) AS t_all
+  FROM votes GROUP BY ALL),
+starts AS (
+  SELECT *, CASE WHEN base OR coalesce(diagonal - lag(diagonal) OVER (PARTITION BY doc_id, template ORDER BY diagonal) > {NEAR}, true) THEN 1 ELSE 0 END AS new
+  FROM diagonals),
+numbered AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS place FROM starts),
+places AS (
+  SELECT doc_id, template, label, base, n_grams, place, min(diagonal + t_first) AS first_word, max(diagonal + t_last) + 1 AS last_word,
+    max(votes) AS best, len(list_distinct(flatten(list(t_all)))) AS covered
+  FROM numbered GROUP BY ALL),
+judged AS (
+  SELECT *, CASE WHEN base OR last_word - first_word + 1 > (n_grams + 1) * {LONGER} THEN best ELSE covered END / n_grams AS coverage FROM places),
+found AS (
+  SELECT doc_id, count(*) FILTER (base AND coverage >= 1) AS n_base, min(first_word) FILTER (base AND coverage >= 1) AS first_word,
+    max(first_word) FILTER (base AND coverage >= 1) AS last_word,
+    list_sort(list(DISTINCT label) FILTER (base AND coverage >= 1)) AS base_labels,
+    list_sort(list(DISTINCT label) FILTER ((base AND coverage >= 1) OR (NOT base AND coverage >= {COVERAGE}))) AS labels,
+    max(CASE WHEN base AND coverage >= 1 THEN 1.0 WHEN NOT base THEN coverage END) AS score
+  FROM judged GROUP BY doc_id)
+SELECT t.doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+  coalesce(array_to_string(base_labels, ','), '') AS base_labels, coalesce(array_to_string(labels, ','), '') AS labels,
+  CAST(coalesce(score, 0) AS DOUBLE) AS score
+FROM texts t LEFT JOIN found USING (doc_id)"""
+
+
+def _mixing() -> str:
+    weight = " ".join(f"WHEN {_text(k)} THEN {w}" for k, w in MIX_WEIGHTS.items())
+    return f"""
+WITH RECURSIVE counts AS (
+  SELECT source, CAST(CASE source {weight} ELSE {MIX_DEFAULT} END AS BIGINT) AS a FROM (SELECT DISTINCT source FROM documents)),
+s AS (SELECT list(a ORDER BY source) AS a, CAST(sum(a) AS BIGINT) AS q, count(*) AS k FROM counts),
+edf(t, c, p) AS (
+  SELECT CAST(0 AS BIGINT), [CAST(0 AS BIGINT) for x in a], CAST(0 AS BIGINT) FROM s
+  UNION ALL
+  SELECT t + 1, [c[i] + CASE WHEN i = p THEN 1 ELSE 0 END for i in range(1, k + 1)], p
+  FROM (SELECT t, c, k, list_min([CASE WHEN (c[i] * q) // a[i] <= t THEN (((c[i] + 1) * q + a[i] - 1) // a[i]) * 10000 + i END for i in range(1, k + 1)]) % 10000 AS p
+        FROM edf, s WHERE t < q)),
+slots AS (SELECT p, list(t - 1 ORDER BY t) AS slots FROM edf WHERE t > 0 GROUP BY p),
+sources AS (SELECT source, a, q, slots FROM (SELECT source, a, row_number() OVER (ORDER BY source) AS p FROM counts) JOIN slots USING (p), (SELECT q FROM s)),
+ranked AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS source_index FROM documents),
+placed AS (
+  SELECT doc_id, source, source_index, source_index // {MIX_BLOCK} AS block, a, q, slots FROM ranked JOIN sources USING (source)),
+told AS (
+  SELECT doc_id, source, source_index, block, (block // a) * q + slots[block % a + 1] AS slot, (block * q) // a AS release,
+    ((block + 1) * q + a - 1) // a AS deadline FROM placed)
+SELECT *, row_number() OVER (ORDER BY slot, source_index) - 1 AS position FROM told"""
+
+
+EXPECTED_SQL: dict[str, str] = {
+    "op4_url_filter": _url_filter(),
+    "op8_licenses": _licenses(),
+    "op10_mixing": _mixing(),
+}

@@ -21,6 +21,7 @@ URL_RULES = [
 # Target weights of the mixture; a source that is not named has weight 5.
 MIX_WEIGHTS = {"src0": 30, "src1": 10, "src2": 10}
 MIX_DEFAULT = 5
+MIX_BLOCK = 16
 
 
 def tokenizer_path(name: str) -> str:
@@ -90,7 +91,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from joeira.llm.mixing import mix_order
 
-    return mix_order(table(spark, sf_dir, "documents"), MIX_WEIGHTS, MIX_DEFAULT, block_rows=16)
+    return mix_order(table(spark, sf_dir, "documents"), MIX_WEIGHTS, MIX_DEFAULT, block_rows=MIX_BLOCK)
 
 
 QUERIES: dict[str, Query] = {
