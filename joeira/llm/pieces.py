@@ -42,6 +42,7 @@ CELLS = 1 << 18  # characters of equal-length words that advance together
 BASE = np.uint64(0x9E3779B97F4A7C15)
 NEVER = np.int64(1) << 60
 JUDGED_BITS = 20
+MAYBE_BITS = 20
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -103,16 +104,24 @@ class Model:
         keys = mixed(keys + length.astype(np.uint64))
         order = np.argsort(keys)
         self.keys, self.ids, self.points = keys[order], np.array(usable, dtype=np.int64)[order], points[order]
+        self.maybe = np.zeros(1 << MAYBE_BITS, dtype=bool)  # whether any key starts with these bits, asked before the search
+        self.maybe[(keys >> np.uint64(64 - MAYBE_BITS)).astype(np.int64)] = True
+        # Characters of no longer piece merge with nothing, so words end there as well.
+        inner = {c for p in usable if len(self.pieces[p]) > 1 for c in self.pieces[p]} - {BLANK}
+        some = "".join(map(re.escape, sorted(inner)))
+        self.cut = re.compile(f"{BLANK}+[{some}]*|[{some}]+|[^{some}{BLANK}]+" if inner else f"{BLANK}+|[^{BLANK}]+", re.DOTALL)
 
     def find(self, key: np.ndarray, points: np.ndarray) -> np.ndarray:
         """The pieces that have these hashes and these characters, -1 for none."""
         if not len(self.keys):
             return np.full(len(key), -1)
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        hit = np.flatnonzero(self.keys[at] == key)
-        same = (self.points[at[hit], : points.shape[1]] == points[hit]).all(axis=1)
         out = np.full(len(key), -1, dtype=np.int64)
-        out[hit[same]] = self.ids[at[hit[same]]]
+        some = np.flatnonzero(self.maybe[(key >> np.uint64(64 - MAYBE_BITS)).astype(np.int64)])
+        at = np.minimum(np.searchsorted(self.keys, key[some]), len(self.keys) - 1)
+        hit = self.keys[at] == key[some]
+        some, at = some[hit], at[hit]
+        same = (self.points[at, : points.shape[1]] == points[some]).all(axis=1)
+        out[some[same]] = self.ids[at[same]]
         return out
 
     # The BPE step.
@@ -280,7 +289,7 @@ class Model:
             return []
         if self.escape:
             text = text.replace(" ", BLANK)
-        return WORD.findall(BLANK + text if self.prefix else text)
+        return self.cut.findall(BLANK + text if self.prefix else text)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         cut = [self.split(t) for t in texts]
@@ -311,8 +320,6 @@ class Model:
         return self._bytes_of
 
 
-WORD = re.compile(f"{BLANK}+[^{BLANK}]*|[^{BLANK}]+", re.DOTALL)
-
 
 @lru_cache(maxsize=2)
 def model(path: str) -> Model:
