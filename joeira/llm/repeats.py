@@ -52,9 +52,10 @@ from joeira.llm.common import Scratch, parallelism
 
 LENGTH = 50
 PREFIX = 16
-BATCH = 4 << 20  # bytes of text in a packed row
+BATCH = 2 << 20  # bytes of text in a packed row
 SEGMENT = 1 << 20  # bytes hashed at a time
-SHARD = 8 << 20  # bytes of text for each shard of the first step
+SHARD = 32 << 20  # bytes of text for each shard of the first step, which gets a 4-byte hash for about 20 of them
+RUN_SHARD = 2 << 20  # and for each shard of the second, which may get them all
 BASE = np.uint64(0x9E3779B97F4A7C15)
 LAST = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -84,6 +85,12 @@ def _windows(raw: np.ndarray, room: np.ndarray, length: int, prefix: int) -> np.
     return least
 
 
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, dtype=np.uint64)
+    out[:1] = 1
+    return np.multiply.accumulate(out)
+
+
 class Runs:
     """The runs of neighbouring windows with one representative, in the texts of a batch."""
 
@@ -110,7 +117,7 @@ class Runs:
             inner = np.minimum(limit, stop[np.searchsorted(stop[:-1], begin, side="right")] if len(begin) else limit)
             starts.append(begin + a)
             counts.append(inner - begin)
-            keys.append(least[begin])
+            keys.append(_mixed(least[begin] + BASE))  # the smallest of many hashes are small: spread them again
         self.start = np.concatenate([np.empty(0, np.int64), *starts]).astype(np.int64)
         self.count = np.concatenate([np.empty(0, np.int64), *counts]).astype(np.int64)
         self.key = np.concatenate([np.empty(0, np.uint64), *keys])
@@ -129,18 +136,13 @@ class Runs:
 
     def content(self, raw: np.ndarray) -> np.ndarray:
         """A hash of each run's bytes."""
+        # A run's hash is a wrapped sum, each byte times a power of its place; undone for the start.
         sums = np.zeros(len(raw) + 1, dtype=np.uint64)
+        np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * _powers(int(BASE), len(raw)), out=sums[1:])
         size = self.count + self.length - 1
-        out = np.empty(len(self.start), dtype=np.uint64)
-        # A run's hash is a wrapped sum, each byte times a power of its place; undone for the start.
-        power = np.full(len(raw) + 1, BASE, dtype=np.uint64)
-        power[0] = 1
-        power = np.multiply.accumulate(power)
-        np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * power[:-1], out=sums[1:])
-        back = np.full(len(raw) + 1, np.uint64(pow(int(BASE), -1, 1 << 64)), dtype=np.uint64)
-        back[0] = 1
-        back = np.multiply.accumulate(back)
-        out[:] = (sums[self.start + size] - sums[self.start]) * back[self.start]
+        out = sums[self.start + size] - sums[self.start]
+        del sums
+        out *= _powers(pow(int(BASE), -1, 1 << 64), len(raw) + 1)[self.start]
         return _mixed(out + size.astype(np.uint64))
 
 
@@ -277,7 +279,7 @@ def _left_over(row: dict, shards: int, length: int):
     return raw, sizes, copy, runs, np.cumsum(new) - 1, np.flatnonzero(new), rank
 
 
-def _run_bytes(shards: int, length: int):
+def _run_bytes(shards: int, run_shards: int, length: int):
     """Second step, texts: the runs of each shard with their bytes."""
 
     def work(batches):
@@ -290,7 +292,7 @@ def _run_bytes(shards: int, length: int):
                 data = runs.gather(raw)
                 size = runs.count + length - 1
                 at = np.concatenate([[0], np.cumsum(size)])
-                cuts = np.searchsorted(shard_of(runs.key, shards), np.arange(shards + 1))
+                cuts = np.searchsorted(shard_of(runs.key, run_shards), np.arange(run_shards + 1))
                 full = np.flatnonzero(np.diff(cuts))
                 ids = [row["id"][o] for o in runs.owner]
                 yield pa.RecordBatch.from_arrays([
@@ -305,24 +307,36 @@ def _run_bytes(shards: int, length: int):
 def ranked(raw: np.ndarray, room: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Starts of ``length`` bytes that are not unique, and their ranks: prefix doubling from 8 bytes on.
 
-    Exact: the first rank is the value of the 8 bytes, the next ones those of pairs.
+    Exact: the first rank is that of the value of the 8 bytes, the next ones those of pairs.
     """
     value, done = raw.astype(np.uint64), 1
     while done < 8:
         value = value[: len(value) - done] << np.uint64(8 * done) | value[done:]
         done *= 2
     at = np.flatnonzero(room[: len(value)] >= 8)
-    rank = np.zeros(len(raw) + 1, dtype=np.uint64)
-    rank[at] = np.unique(value[at], return_inverse=True)[1]
+    rank = np.zeros(len(raw) + 1, dtype=np.uint32)
+    rank[at] = _dense(value[at])[0]
+    del value
     while done < length:
         step = min(done, length - done)
         at = np.flatnonzero(room >= done + step)
-        pairs = rank[at] << np.uint64(32) | rank[at + step]
-        _, place, times = np.unique(pairs, return_inverse=True, return_counts=True)
+        place, shared = _dense(rank[at].astype(np.uint64) << np.uint64(32) | rank[at + step])
         rank[at] = place  # the pairs are taken, so the old ranks can go
         done += step
-    some = times[place] > 1
-    return at[some], place[some]
+    return at[shared], place[shared]
+
+
+def _dense(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ranks of the values by one sort, and which values occur more than once."""
+    order = np.argsort(values)
+    values = values[order]
+    new = np.ones(len(values), dtype=bool)
+    new[1:] = values[1:] != values[:-1]
+    rank = np.empty(len(values), dtype=np.uint32)
+    rank[order] = np.cumsum(new, dtype=np.uint32) - np.uint32(1) if len(values) else rank
+    shared = np.empty(len(values), dtype=bool)
+    shared[order] = ~(new & np.append(new[1:], True)) if len(values) else shared
+    return rank, shared
 
 
 def _covered(length: int):
@@ -337,8 +351,8 @@ def _covered(length: int):
         who = np.array([order_of[i] for i in ids], dtype=np.int64)
         size = every + length - 1
         ends = np.cumsum(size)
-        run = np.repeat(np.arange(len(size)), size)
-        room = ends[run] - np.arange(len(raw))
+        run = np.repeat(np.arange(len(size), dtype=np.int32), size)
+        room = (ends[run] - np.arange(len(raw))).astype(np.int32)
         at, rank = ranked(raw, room, length)
         least = np.full(int(rank.max()) + 1 if len(rank) else 1, len(order_of), dtype=np.int64)
         np.minimum.at(least, rank, who[run[at]])
@@ -351,7 +365,7 @@ def _covered(length: int):
     return work
 
 
-def _cut(shards: int, length: int, names: list[str], with_text: bool):
+def _cut(shards: int, run_shards: int, length: int, names: list[str], with_text: bool):
     """Third step: the texts without the covered bytes."""
 
     def work(batches):
@@ -364,7 +378,7 @@ def _cut(shards: int, length: int, names: list[str], with_text: bool):
                     counts = runs.count[first]
                     before = np.concatenate([[0], np.cumsum(counts)])
                     hit = np.zeros(int(before[-1]), dtype=bool)
-                    cuts = np.searchsorted(shard_of(runs.key[first], shards), np.arange(shards + 1))
+                    cuts = np.searchsorted(shard_of(runs.key[first], run_shards), np.arange(run_shards + 1))
                     for s, bits in zip(row["hit_shards"] or [], row["hits"] or []):
                         a, b = before[cuts[s]], before[cuts[s + 1]]
                         hit[a:b] = np.unpackbits(np.frombuffer(bits, np.uint8), count=b - a).astype(bool)
@@ -395,7 +409,7 @@ def _cut(shards: int, length: int, names: list[str], with_text: bool):
     return work
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True, shard_bytes: int = SHARD) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True, shard_bytes: int = SHARD, run_shard_bytes: int = RUN_SHARD) -> DataFrame:
     """Every row of ``docs`` with ``n_bytes, n_removed, n_spans, kept_sha256`` in front of nothing else.
 
     With ``with_text`` the text column holds what is left (characters cut in
@@ -406,6 +420,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     packed = scratch.save(pack(docs, id_col, text_col))
     total = packed.select(F.aggregate("sizes", F.lit(0).cast("bigint"), lambda x, n: x + n).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     shards = max(2 * parallelism(docs.sparkSession), total // shard_bytes)
+    run_shards = max(2 * parallelism(docs.sparkSession), total // run_shard_bytes)
     id_type = docs.schema[id_col].dataType.simpleString()
 
     hashes = packed.select("batch", "id", "sizes", "blob").mapInArrow(_prefix_hashes(shards, length), "shard bigint, batch bigint, keys binary, shared binary")
@@ -415,7 +430,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     )
     known = scratch.save(bits.join(_copies(packed.select("batch", "uid", "id", "sizes", "key1", "key2"), length), "batch", "full"))
     asked = packed.select("batch", "uid", "id", "sizes", "blob").join(known.hint("shuffle_hash"), "batch", "left")
-    runs = asked.mapInArrow(_run_bytes(shards, length), f"shard bigint, batch bigint, ids array<{id_type}>, counts binary, data binary")
+    runs = asked.mapInArrow(_run_bytes(shards, run_shards, length), f"shard bigint, batch bigint, ids array<{id_type}>, counts binary, data binary")
     hits = runs.groupBy("shard").applyInArrow(_covered(length), "batch bigint, shard bigint, hits binary")
     answers = hits.groupBy("batch").agg(F.collect_list(F.struct("shard", "hits")).alias("h")).select(
         "batch", F.col("h.shard").alias("hit_shards"), F.col("h.hits").alias("hits")
@@ -425,7 +440,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     cut = packed.drop("key1", "key2").join(told.hint("shuffle_hash"), "batch", "left")
     kinds = {"id": id_type} | {f"o{k}": docs.schema[c].dataType.simpleString() for k, c in enumerate(others)}
     schema = ", ".join(f"{n} {kinds[n]}" for n in names) + ", n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + (", kept string" if with_text else "")
-    out = cut.mapInArrow(_cut(shards, length, names, with_text), schema)
+    out = cut.mapInArrow(_cut(shards, run_shards, length, names, with_text), schema)
     back = {id_col: "id", text_col: "kept"} | {c: f"o{k}" for k, c in enumerate(others)}
     clash = {"n_bytes", "n_removed", "n_spans", "kept_sha256"} & set(docs.columns)
     if clash:
