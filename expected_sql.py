@@ -162,11 +162,11 @@ _SERIALS = """(SELECT substr(ID,1,2) AS year, TRY_CAST(nullif(ltrim(substr(ID,3)
 _DUPLICATES = "(SELECT ID, count(*) AS n, min(row_idx) AS first_row FROM enc WHERE ID IS NOT NULL GROUP BY ID HAVING count(*) > 1)"
 
 
-def _present(name: str, *columns: str) -> str:
+def _present(name: str) -> str:
     return "\nUNION ALL ".join(
-        f"""SELECT '{c}' AS "column", count(*) AS total_rows, count(*) FILTER (WHERE coalesce({c}, '') = '') AS missing_count,
-  round(count(*) FILTER (WHERE coalesce({c}, '') = '') / count(*), 6) AS missing_share FROM {name}"""
-        for c in columns
+        f"""SELECT '{c}' AS "column", count(*) AS total_rows, count(*) FILTER (WHERE coalesce(CAST({c} AS VARCHAR), '') = '') AS missing_count,
+  round(count(*) FILTER (WHERE coalesce(CAST({c} AS VARCHAR), '') = '') / count(*), 6) AS missing_share FROM {name}"""
+        for c in _COLUMNS[name].split(", ")
     )
 
 
@@ -255,11 +255,24 @@ def _shapes(extra: str = "") -> str:
     )
 
 
-def _stats_of(*names: str) -> str:
+def _table_sizes() -> str:
+    def size(c: str) -> str:
+        if c == "embedding":
+            return "CASE WHEN embedding IS NULL THEN 0 ELSE len(embedding) * 8 END"
+        return f"CASE WHEN {c} IS NULL THEN 0 WHEN typeof({c}) = 'VARCHAR' THEN length(CAST({c} AS VARCHAR)) ELSE 8 END"
+
     return "\nUNION ALL ".join(
-        f"""SELECT 'joeira_{t}' AS table_name, count(*) AS row_count, CAST(sum(length(to_json({t})::VARCHAR)) AS BIGINT) AS json_chars,
-  round(sum(length(to_json({t})::VARCHAR)) / count(*), 6) AS avg_row_chars FROM {t}"""
-        for t in names
+        f"""SELECT 'joeira_{t}' AS table_name, count(*) AS row_count, CAST(sum(n) AS BIGINT) AS size, round(sum(n) / count(*), 6) AS avg_row_size
+  FROM (SELECT {' + '.join(map(size, c.split(', ')))} AS n FROM {t})"""
+        for t, c in _COLUMNS.items()
+    )
+
+
+def _profiles() -> str:
+    return "\nUNION ALL ".join(
+        f"""SELECT '{t}' AS table_name, '{t}.parquet' AS file_name, CAST(1 AS BIGINT) AS files, count(*) AS row_count,
+  {len(c.split(', '))} AS column_count, '{c}' AS columns FROM {t}"""
+        for t, c in _COLUMNS.items()
     )
 
 
@@ -275,12 +288,12 @@ def _print(source: str, names: str, key: str | None) -> str:
 
 
 _BEFORE = {
-    "documents": (_print("documents", "text, lang, source", "doc_id"), "'7'"),
+    "documents": (_print("documents", "text, lang, source, n_chars", "doc_id"), "'7'"),
     "pages": (_print("pages", "url, html", "page_id"), "'first'"),
     "benchmark": (_print("benchmark", "text", "item_id"), "'12'"),
 }
 _NOW = {
-    "documents": _print("(SELECT * FROM documents WHERE lang <> 'de')", "text, lang, source", "doc_id"),
+    "documents": _print("(SELECT * FROM documents WHERE lang <> 'de')", "text, lang, source, n_chars", "doc_id"),
     "pages": _print(
         "(SELECT page_id, CASE WHEN page_id = 0 THEN 'moved' ELSE url END AS url, html FROM pages)", "url, html", "page_id"
     ),
@@ -440,9 +453,9 @@ SELECT section, part, rank, text FROM ({lines})"""
 
 EXPECTED_SQL: dict[str, str] = {
     "encounters": enc("SELECT * FROM enc"),
-    "year_filter_single": enc("SELECT row_idx, ID, data_ent FROM enc WHERE ID LIKE '99%'"),
+    "year_filter_single": enc("SELECT * FROM enc WHERE ID LIKE '99%'"),
     "year_filter_range": enc(
-        "SELECT row_idx, ID, data_ent FROM enc WHERE regexp_matches(ID, '^[0-9]{2}') AND TRY_CAST(substr(ID,1,2) AS INT) BETWEEN 97 AND 99"
+        "SELECT * FROM enc WHERE regexp_matches(ID, '^[0-9]{2}') AND TRY_CAST(substr(ID,1,2) AS INT) BETWEEN 97 AND 99"
     ),
     "year_filter_patients": enc(
         "SELECT row_idx, ID, TRY_CAST(substr(ID,1,2) AS INTEGER) AS year FROM enc WHERE length(ID) >= 2 AND TRY_CAST(substr(ID,1,2) AS INT) BETWEEN 0 AND 1"
@@ -454,8 +467,8 @@ EXPECTED_SQL: dict[str, str] = {
     ),
     "patients_over_50": der("SELECT row_idx, ID, age FROM der WHERE age > 50"),
     "missing_values": counts(*_MISSING),
-    "missing_values_customer": _present("customer", "c_name", "c_mktsegment"),
-    "missing_values_documents": _present("documents", "text", "lang", "source"),
+    "missing_values_customer": _present("customer"),
+    "missing_values_documents": _present("documents"),
     "missing_rows": issues("id_missing", "admission_missing", "birth_missing"),
     "id_pattern": counts("id_pattern"),
     "id_pattern_examples": der(
@@ -566,7 +579,14 @@ EXPECTED_SQL: dict[str, str] = {
     ),
     "row_numbers": "SELECT row_number() OVER () - 1 AS row_idx, event_id FROM events",
     "validated_patients": val(f"SELECT {_FIELDS}, warnings FROM val WHERE reasons = ''"),
-    "rejected_patients": val("SELECT row_idx, ID, nome, reasons FROM val WHERE reasons <> ''"),
+    "rejected_patients": val("SELECT row_idx, ID, nome, reasons FROM val WHERE reasons <> '' AND coalesce(ID,'')<>'' AND nome IS NOT NULL"),
+    "rejected_patients_filtered": val(
+        "SELECT row_idx, ID, nome, reasons FROM val WHERE in_97_99 AND reasons <> '' AND coalesce(ID,'')<>'' AND nome IS NOT NULL"
+    ),
+    "skipped_patients_filtered": val(
+        """SELECT row_idx, ID, nome, coalesce(in_97_99, false) AS in_filter, reasons FROM val
+  WHERE NOT coalesce(in_97_99 AND coalesce(ID,'')<>'' AND nome IS NOT NULL, false)"""
+    ),
     "validation_counts": val(
         """SELECT total, total - filtered AS skipped, filtered, processed, filtered - processed AS errors, with_warnings FROM (
   SELECT count(*) AS total, count(*) FILTER (WHERE in_97_99 AND coalesce(ID,'')<>'' AND nome IS NOT NULL) AS filtered,
@@ -582,11 +602,12 @@ EXPECTED_SQL: dict[str, str] = {
   WHERE coalesce(ID,'')<>'' AND nome IS NOT NULL AND TRY_CAST(substr(ID,1,2) AS INT) = 99 ORDER BY row_idx LIMIT 1"""
     ),
     "table_shapes": _shapes(),
-    "table_stats": _stats_of("region", "nation", "part", "customer", "labels", "conversations"),
-    "catalog_lookup": _shapes(", true AS known"),
+    "table_stats": _table_sizes(),
+    "table_profile": _profiles(),
+    "catalog_lookup": _shapes(", true AS known, true AS listed"),
     "sheet_list": "SELECT unnest([" + ", ".join(f"'{t}'" for t in _COLUMNS) + "]) AS sheet_name, 'parquet' AS format, CAST(1 AS BIGINT) AS files",
     "fingerprint_documents": _print("documents", "text, lang, source, n_chars", "doc_id"),
-    "fingerprint_conversations": _print("conversations", "turn, role, text", None),
+    "fingerprint_conversations": _print("conversations", "conv_id, turn, role, text", None),
     "fingerprint_encounters": enc(
         _print("enc", "ID, processo, nome, data_ent, data_alta, destino, sexo, data_nasc, origem", "row_idx")
     ),

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from joeira.functions.dates import age_decade, decade_label
 from joeira.functions.missing import is_present
@@ -110,8 +110,9 @@ def distinct_values(df: DataFrame, column: str) -> DataFrame:
 
 
 def presence(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Missing and present counts per column, in one pass."""
-    counters = [F.count_if(is_present(c)).alias(c) for c in columns]
+    """Missing and present counts per column, of any type, in one pass."""
+    text = {f.name for f in df.schema if isinstance(f.dataType, T.StringType)}
+    counters = [F.count_if(is_present(c) if c in text else F.col(c).isNotNull()).alias(c) for c in columns]
     rows = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("present")) for c in columns])
     missing = F.col("_rows") - F.col("present")
     return (

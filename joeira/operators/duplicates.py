@@ -10,29 +10,35 @@ from joeira.operators.skew import HOT_ROWS, join_counted_keys
 
 def key_counts(df: DataFrame, key: str = "ID") -> DataFrame:
     """Rows and first position of every key, null included."""
-    return df.groupBy(key).agg(F.count("*").alias("n"), F.min("row_idx").alias("first_row"))
+    return df.groupBy(key).agg(F.count("*").alias(counter(key)), F.min("row_idx").alias("first_row"))
+
+
+def counter(key: str) -> str:
+    """Name of the column with a key's count: ``n``, unless the key is called that."""
+    return "n" if key != "n" else "n_rows"
 
 
 def duplicate_keys(df: DataFrame, key: str = "ID") -> DataFrame:
     """Keys that occur more than once."""
-    return key_counts(df.filter(F.col(key).isNotNull()), key).filter("n > 1")
+    return key_counts(df.filter(F.col(key).isNotNull()), key).filter(F.col(counter(key)) > 1)
 
 
 def duplicate_rows(df: DataFrame, key: str = "ID", hot_rows: int = HOT_ROWS) -> DataFrame:
     """Every row whose key is repeated, one per line, however many there are."""
     rows = df.filter(F.col(key).isNotNull()).select(key, "row_idx")
-    joined = join_counted_keys(rows, duplicate_keys(df, key), key, hot_rows=hot_rows)
-    return joined.select(key, "n", "first_row", "row_idx", (F.col("row_idx") + 2).alias("line_no"))
+    joined = join_counted_keys(rows, duplicate_keys(df, key), key, counter(key), hot_rows=hot_rows)
+    return joined.select(key, counter(key), "first_row", "row_idx", (F.col("row_idx") + 2).alias("line_no"))
 
 
 def duplicate_summary(df: DataFrame, key: str = "ID") -> DataFrame:
     """Rows involved, their share of all rows, and the number of keys."""
-    repeated = F.col(key).isNotNull() & (F.col("n") > 1)
+    n = counter(key)
+    repeated = F.col(key).isNotNull() & (F.col(n) > 1)
     return (
         key_counts(df.select(key, "row_idx"), key)
         .agg(
-            F.coalesce(F.sum("n"), F.lit(0)).alias("total_rows"),
-            F.coalesce(F.sum(F.when(repeated, F.col("n"))), F.lit(0)).alias("duplicate_rows"),
+            F.coalesce(F.sum(n), F.lit(0)).alias("total_rows"),
+            F.coalesce(F.sum(F.when(repeated, F.col(n))), F.lit(0)).alias("duplicate_rows"),
             F.count_if(repeated).alias("duplicate_keys"),
         )
         .withColumn("duplicate_share", F.round(share(F.col("duplicate_rows"), F.col("total_rows")), 6))
@@ -52,7 +58,7 @@ def first_duplicates(df: DataFrame, keys: int = 3, rows: int = 10, key: str = "I
         .join(F.broadcast(top), key)
         .withColumn("_r", F.row_number().over(order))
         .filter(F.col("_r") <= rows)
-        .groupBy(key, "n", "first_row")
+        .groupBy(key, counter(key), "first_row")
         .agg(F.sort_array(F.collect_list(F.col("row_idx") + 2)).alias("lines"))
-        .withColumn("n_more", F.col("n") - F.size("lines"))
+        .withColumn("n_more", F.col(counter(key)) - F.size("lines"))
     )

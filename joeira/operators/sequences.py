@@ -18,8 +18,8 @@ from joeira.functions.ids import serial_from_id, year_prefix
 # Block widths as powers of two; the last step takes the group as a whole.
 BLOCK_BITS = (21, 42, None)
 INT_BLOCK_BITS = (21, None)
-# Missing numbers are unfolded from a gap this many at a time.
-LIST_CHUNK = 65_536
+# Gaps of at least this width are spread over the tasks in coarser pieces.
+WIDE_GAP = 1 << 40
 
 
 def id_serials(df: DataFrame) -> DataFrame:
@@ -31,21 +31,25 @@ def id_serials(df: DataFrame) -> DataFrame:
 
 
 def _distinct(df: DataFrame, group: str, number: str) -> DataFrame:
-    return df.groupBy(group, number).agg(F.count("*").alias("n"))
+    return df.groupBy(group, number).agg(F.count("*").alias("_n"))
 
 
 def sequences(df: DataFrame, group: str = "year", number: str = "serial") -> DataFrame:
     """Rows, smallest and largest number, and how many are missing between.
 
     Rows are first folded to distinct (group, number) pairs, so a group with
-    very many rows costs its reducer only its distinct numbers.
+    very many rows costs its reducer only its distinct numbers.  A group is not
+    ``valid`` without any number, or if more numbers are missing than a BIGINT
+    can say; its ``missing_count`` is null then.
     """
-    extent = F.col("max_serial") - F.col("min_serial") + 1
+    # Two serials may be more than a BIGINT apart.
+    span = F.col("max_serial").cast("decimal(20,0)") - F.col("min_serial").cast("decimal(20,0)") + 1
+    missing = span - F.col("distinct_serials")
     return (
         _distinct(df, group, number)
         .groupBy(group)
         .agg(
-            F.sum("n").alias("count"),
+            F.sum("_n").alias("count"),
             F.min(number).alias("min_serial"),
             F.max(number).alias("max_serial"),
             F.count(number).alias("distinct_serials"),
@@ -53,17 +57,17 @@ def sequences(df: DataFrame, group: str = "year", number: str = "serial") -> Dat
         .select(
             group,
             "count",
-            F.col("max_serial").isNotNull().alias("valid"),
+            missing.try_cast("bigint").isNotNull().alias("valid"),
             "min_serial",
             "max_serial",
-            (extent - F.col("distinct_serials")).alias("missing_count"),
-            F.round((extent - F.col("distinct_serials")) / extent, 6).alias("missing_share"),
+            missing.try_cast("bigint").alias("missing_count"),
+            F.round(missing.cast("double") / span.cast("double"), 6).alias("missing_share"),
         )
     )
 
 
 def gap_ranges(df: DataFrame, group: str = "year", number: str = "serial") -> DataFrame:
-    """First and last missing number of every gap."""
+    """First and last missing number of every gap; ``gap_len`` is null beyond a BIGINT."""
     spans = (
         _distinct(df.filter(F.col(number).isNotNull()), group, number)
         .select(group, F.col(number).cast("bigint").alias("lo"), F.col(number).cast("bigint").alias("hi"))
@@ -75,12 +79,13 @@ def gap_ranges(df: DataFrame, group: str = "year", number: str = "serial") -> Da
         following = F.lead("lo").over(W.partitionBy(group, *block).orderBy("lo"))
         found.append(
             placed.select(group, F.col("hi"), following.alias("next"))
-            .filter(F.col("next") - F.col("hi") > 1)
+            .withColumn("_step", F.try_subtract("next", "hi"))
+            .filter(F.col("next").isNotNull() & F.coalesce(F.col("_step") > 1, F.lit(True)))
             .select(
                 group,
                 (F.col("hi") + 1).alias("gap_start"),
                 (F.col("next") - 1).alias("gap_end"),
-                (F.col("next") - F.col("hi") - 1).alias("gap_len"),
+                (F.col("_step") - 1).alias("gap_len"),
             )
         )
         if block:
@@ -88,20 +93,45 @@ def gap_ranges(df: DataFrame, group: str = "year", number: str = "serial") -> Da
     return reduce(DataFrame.unionByName, found)
 
 
+def _pieces(gaps: DataFrame, bits: int) -> DataFrame:
+    """Gaps of at most 2^(``bits`` + 16) numbers cut into pieces of at most 2^``bits``."""
+    width = 1 << bits
+
+    def up_to(steps: int):
+        far = F.try_add("_from", F.lit(min(steps, (1 << 63) - 1)).cast("bigint"))
+        return F.least(F.coalesce(far, F.col("_to")), F.col("_to"))
+
+    # The bound changes nothing for such gaps; it keeps the array short where the plan looks at it before a filter does.
+    cut = F.explode(F.sequence("_from", up_to(width * 65_535), F.lit(width).cast("bigint")))
+    end = up_to(width - 1)
+    return gaps.withColumn("_from", cut).withColumn("_to", end)
+
+
 def missing_numbers(gaps: DataFrame, group: str = "year") -> DataFrame:
-    """Every missing number, one per row, unfolded in bounded pieces.
+    """Every missing number, one per row.
 
-    A gap is cut into pieces first and the pieces are spread over all tasks,
-    so that one very long gap is not written out by a single task.
+    The list is as long as the gaps are wide: one stray number can ask for more
+    rows than any disk holds, and ``gap_ranges`` is the safe form.  Gaps are
+    cut into pieces level by level, none of which makes an array of more than
+    2^16 elements, and pieces are spread over all tasks, so a long gap is not
+    written out by a single task and a limit on the result ends early.
     """
     spread = int(gaps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    starts = F.explode(F.sequence("gap_start", "gap_end", F.lit(LIST_CHUNK).cast("bigint")))
-    last = F.least(F.col("_start") + LIST_CHUNK - 1, F.col("gap_end"))
-    return (
-        gaps.select(group, "gap_end", starts.alias("_start"))
-        .repartition(spread, "_start")
-        .select(group, F.explode(F.sequence("_start", last)).alias("missing_serial"))
+    below, above = F.col("gap_start") < 0, F.col("gap_end") >= 0
+    # Halves on either side of zero: the width of each fits a BIGINT.
+    halves = F.array(
+        F.when(below, F.struct(F.col("gap_start").alias("a"), F.least(F.lit(-1).cast("bigint"), "gap_end").alias("b"))),
+        F.when(above, F.struct(F.greatest(F.lit(0).cast("bigint"), "gap_start").alias("a"), F.col("gap_end").alias("b"))),
+    )
+    signed = gaps.select(group, F.explode(halves).alias("_h")).filter("_h IS NOT NULL").select(
+        group, F.col("_h.a").alias("_from"), F.col("_h.b").alias("_to")
     )
+    wide = F.col("_to") - F.col("_from") >= WIDE_GAP
+    # ``coalesce`` moves nothing here.  It keeps the levels in code of their own: fused, the inner arrays of one row would
+    # all be unfolded before the next operator gets a row.
+    near = _pieces(_pieces(signed.filter(~wide), 32).coalesce(spread), 16).repartition(spread, "_from")
+    far = _pieces(_pieces(_pieces(signed.filter(wide), 48).repartition(spread, "_from"), 32).coalesce(spread), 16).coalesce(spread)
+    return near.unionByName(far).select(group, F.explode(F.sequence("_from", "_to")).alias("missing_serial"))
 
 
 def missing_preview(gaps: DataFrame, limit: int = 5, group: str = "year") -> DataFrame:
@@ -110,7 +140,9 @@ def missing_preview(gaps: DataFrame, limit: int = 5, group: str = "year") -> Dat
     Looks at the first ``limit`` gaps only, since every gap holds at least one
     missing number.
     """
-    totals = gaps.groupBy(group).agg(F.sum("gap_len").alias("missing_count"))
+    # Unknown as soon as one gap, or their sum, is beyond a BIGINT.
+    counted = F.when(F.count("*") == F.count("gap_len"), F.try_sum("gap_len"))
+    totals = gaps.groupBy(group).agg(counted.alias("missing_count"))
     order = W.partitionBy(group).orderBy("gap_start")
     first = (
         gaps.withColumn("_r", F.row_number().over(order))

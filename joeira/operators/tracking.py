@@ -11,6 +11,8 @@ HISTORY_SCHEMA = (
     "column_count int, columns array<string>, data_hash string, revision_id string"
 )
 
+FINGERPRINT_SCHEMA = "row_count bigint, column_count int, data_hash string"
+
 # Each row's hash is cut into lanes of 20 bits that are summed as BIGINT:
 # exact up to 2^43 rows, and past that the sum fails instead of wrapping.
 _LANE_BITS = 20
@@ -25,21 +27,28 @@ def row_text(columns: Sequence[str]) -> Column:
     return F.concat_ws("|", *cells)
 
 
+def _list_text(names: Sequence[str]) -> str:
+    """The names as one unambiguous text: every one with its length, unless all are plain words."""
+    if all(n.isidentifier() for n in names):
+        return ",".join(names)
+    return ",".join(f"{len(n)}:{n}" for n in names)
+
+
 def fingerprint(df: DataFrame, columns: Sequence[str] | None = None, ordered: bool = True) -> DataFrame:
     """One row: row count, column count and a hash of the whole content.
 
     ``ordered`` mixes ``row_idx`` into every row, so moving a row changes the
-    result.  The hash is a sum over rows: it needs one pass, no sort, and no
+    result; otherwise ``row_idx`` is left out, unless ``columns`` names it.  The hash is a sum over rows: it needs one pass, no sort, and no
     shuffle beyond one small row per task.
     """
-    names = [c for c in (columns or df.columns) if c != "row_idx"]
-    hashed = ["row_idx", *names] if ordered else names
+    names = list(columns) if columns else [c for c in df.columns if c != "row_idx"]
+    hashed = ["row_idx", *[c for c in names if c != "row_idx"]] if ordered else names
     word = F.conv(F.substring(F.md5(row_text(hashed)), 1, 15), 16, 10).cast("bigint")
     mask = (1 << _LANE_BITS) - 1
     lanes = [F.shiftright("w", _LANE_BITS * i).bitwiseAND(F.lit(mask)) for i in range(3)]
     sums = [F.coalesce(F.sum(lane), F.lit(0)).alias(f"s{i}") for i, lane in enumerate(lanes)]
     whole = F.concat_ws(
-        ":", F.lit(",".join(names)), *[F.col(c).cast("string") for c in ("row_count", "s2", "s1", "s0")]
+        ":", F.lit(_list_text(names)), *[F.col(c).cast("string") for c in ("row_count", "s2", "s1", "s0")]
     )
     return (
         df.select(word.alias("w"))
@@ -107,16 +116,17 @@ def read_history(spark: SparkSession, path: str) -> DataFrame:
 
 
 def record_load(
-    df: DataFrame, history_path: str, source_id: str, sheet_name: str, filename: str, ordered: bool = True
+    df: DataFrame, history_path: str, source_id: str, sheet_name: str, filename: str, ordered: bool = True,
+    new: DataFrame | None = None,
 ) -> DataFrame:
     """Fingerprint the rows, carry the revision on and append to the history.
 
-    Returns the new entry.  IDs should be padded first, so that every load is
+    ``new`` is the rows' fingerprint where it is known already.  Returns the new entry.  IDs should be padded first, so that every load is
     compared in the same form.
     """
     spark = df.sparkSession
     names = [c for c in df.columns if c != "row_idx"]
-    new = fingerprint(df, ordered=ordered).withColumn("source_id", F.lit(source_id))
+    new = (fingerprint(df, ordered=ordered) if new is None else new).withColumn("source_id", F.lit(source_id))
     known = latest_revision(read_history(spark, history_path).filter(F.col("source_id") == source_id))
     entry = change_status(new, known).select(
         "source_id",

@@ -103,7 +103,13 @@ def accepted(validated: DataFrame) -> DataFrame:
 
 
 def rejected(validated: DataFrame) -> DataFrame:
-    return validated.filter(F.size("reasons") > 0)
+    """Rows that the filter keeps and that are in error: as many as ``errors`` counts."""
+    return validated.filter(_has_key() & (F.size("reasons") > 0)).drop("in_filter")
+
+
+def skipped(validated: DataFrame) -> DataFrame:
+    """Rows that are left out before they are looked at, for want of a key or by the filter: as many as ``skipped`` counts."""
+    return validated.filter(~_has_key())
 
 
 def validation_counts(validated: DataFrame) -> DataFrame:

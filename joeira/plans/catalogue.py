@@ -26,7 +26,7 @@ from joeira.plans.encounters import encounters
 from joeira.plans.patients import PatientJob, first_record
 from joeira.plans.quality import QualityResult
 from joeira.sinks.documents import latest_per_id, to_json_text
-from joeira.sources.catalog import frame_stats, get_table, table_exists, table_stats
+from joeira.sources.catalog import get_table, list_tables, table_exists, table_stats
 from joeira.sources.landing import list_sheets
 from joeira.sources.rownum import with_parquet_row_idx
 
@@ -95,11 +95,11 @@ def listed(*names: str, columns: tuple[str, ...]) -> Query:
 
 
 def year_filter_single(spark, sf_dir):
-    return filter_by_year(encounters(spark, sf_dir, ("row_idx", "ID", "data_ent")), "99")
+    return filter_by_year(encounters(spark, sf_dir), "99")
 
 
 def year_filter_range(spark, sf_dir):
-    return filter_by_year(encounters(spark, sf_dir, ("row_idx", "ID", "data_ent")), "97-99")
+    return filter_by_year(encounters(spark, sf_dir), "97-99")
 
 
 def year_filter_patients(spark, sf_dir):
@@ -252,7 +252,7 @@ def missing_values(spark, sf_dir):
 def present(name: str) -> Query:
     def run(spark, sf_dir):
         df = table(spark, sf_dir, name)
-        return presence(df, [f for f, t in df.dtypes if t == "string"])
+        return presence(df, df.columns)
 
     return run
 
@@ -357,6 +357,16 @@ def rejected_patients(spark, sf_dir):
     return _flat(patients(spark, sf_dir).rejected).select("row_idx", "ID", "nome", "reasons")
 
 
+def rejected_patients_filtered(spark, sf_dir):
+    """Rows of the wanted years that are in error."""
+    return _flat(patients(spark, sf_dir, "97-99").rejected).select("row_idx", "ID", "nome", "reasons")
+
+
+def skipped_patients_filtered(spark, sf_dir):
+    """Rows of other years, and rows without an ID or name."""
+    return _flat(patients(spark, sf_dir, "97-99").skipped).select("row_idx", "ID", "nome", "in_filter", "reasons")
+
+
 def q_validation_counts(spark, sf_dir):
     return patients(spark, sf_dir, "99-97").counts
 
@@ -381,40 +391,45 @@ def preview_record(spark, sf_dir):
 
 
 def q_table_profile(spark, sf_dir):
-    return reduce(DataFrame.unionByName, [table_profile(table(spark, sf_dir, t), t) for t in TABLES])
+    """Files, rows and columns; where the files lie and how large they are depends on the place."""
+    profiles = [table_profile(table(spark, sf_dir, t), t) for t in TABLES]
+    return reduce(DataFrame.unionByName, profiles).drop("file_path", "file_size_kb")
 
 
 def table_shapes(spark, sf_dir):
     return reduce(DataFrame.unionByName, [shape(table(spark, sf_dir, t), t) for t in TABLES])
 
 
-def q_table_stats(spark, sf_dir):
-    """Statistics of tables looked up in the catalog."""
+def _with_views(spark, sf_dir, names, use) -> DataFrame:
+    """``use`` on every table while it is in the catalog."""
     parts = []
-    for name in ("region", "nation", "part", "customer", "labels", "conversations"):
+    for name in names:
         view = f"joeira_{name}"
         table(spark, sf_dir, name).createOrReplaceTempView(view)
-        parts.append(table_stats(spark, view))
+        try:
+            parts.append(use(name, view))
+        finally:
+            spark.catalog.dropTempView(view)
     return reduce(DataFrame.unionByName, parts)
 
 
+def q_table_stats(spark, sf_dir):
+    """Statistics of tables looked up in the catalog."""
+    return _with_views(spark, sf_dir, TABLES, lambda name, view: table_stats(spark, view))
+
+
 def catalog_lookup(spark, sf_dir):
-    """Which of the tables the catalog knows, with the columns it reports."""
-    parts = []
-    for name in TABLES:
-        view = f"joeira_{name}"
-        table(spark, sf_dir, name).createOrReplaceTempView(view)
-        known = table_exists(spark, view)
-        parts.append(shape(get_table(spark, view), name).withColumn("known", F.lit(known)))
-    return reduce(DataFrame.unionByName, parts)
+    """Which of the tables the catalog lists and knows, with the columns it reports."""
 
+    def found(name, view):
+        facts = {"known": F.lit(table_exists(spark, view)), "listed": F.lit(view in list_tables(spark))}
+        return shape(get_table(spark, view), name).withColumns(facts)
 
-def sheet_list(spark, sf_dir):
-    return list_sheets(spark, sf_dir).select("sheet_name", "format", "files")
+    return _with_views(spark, sf_dir, TABLES, found)
 
 
-def all_stats(spark, sf_dir):
-    return reduce(DataFrame.unionByName, [frame_stats(table(spark, sf_dir, t), t) for t in TABLES])
+def sheet_list(spark, sf_dir):
+    return list_sheets(spark, sf_dir).select("sheet_name", "format", "files")
 
 
 def _numbered(spark, sf_dir, name: str, key: str) -> DataFrame:
@@ -425,13 +440,18 @@ def fingerprint_of(name: str, key: str, ordered: bool) -> Query:
     return lambda spark, sf_dir: fingerprint(_numbered(spark, sf_dir, name, key), ordered=ordered)
 
 
+def fingerprint_conversations(spark, sf_dir):
+    """All columns, in whatever order the rows stand."""
+    return fingerprint(table(spark, sf_dir, "conversations"), ordered=False)
+
+
 def fingerprint_encounters(spark, sf_dir):
     return fingerprint(encounters(spark, sf_dir))
 
 
 def _loads(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """Three sources as first loaded, and as they look now."""
-    docs = _numbered(spark, sf_dir, "documents", "doc_id").select("row_idx", "text", "lang", "source")
+    docs = _numbered(spark, sf_dir, "documents", "doc_id")
     pages = _numbered(spark, sf_dir, "pages", "page_id")
     items = _numbered(spark, sf_dir, "benchmark", "item_id")
     shorter = docs.filter(F.col("lang") != "de")
@@ -545,6 +565,8 @@ QUERIES: dict[str, Query] = {
     "row_numbers": row_numbers,
     "validated_patients": validated_patients,
     "rejected_patients": rejected_patients,
+    "rejected_patients_filtered": rejected_patients_filtered,
+    "skipped_patients_filtered": skipped_patients_filtered,
     "validation_counts": q_validation_counts,
     "written_documents": written_documents,
     "latest_per_id": q_latest_per_id,
@@ -553,11 +575,10 @@ QUERIES: dict[str, Query] = {
     "table_profile": q_table_profile,
     "table_shapes": table_shapes,
     "table_stats": q_table_stats,
-    "table_stats_all": all_stats,
     "catalog_lookup": catalog_lookup,
     "sheet_list": sheet_list,
     "fingerprint_documents": fingerprint_of("documents", "doc_id", ordered=True),
-    "fingerprint_conversations": fingerprint_of("conversations", "conv_id", ordered=False),
+    "fingerprint_conversations": fingerprint_conversations,
     "fingerprint_encounters": fingerprint_encounters,
     "change_status": q_change_status,
     "revision_info": revision_info,

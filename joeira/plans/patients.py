@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 from joeira.operators.filters import parse_year_filter
-from joeira.operators.validation import accepted, rejected, validate, validation_counts, written_count
+from joeira.operators.validation import accepted, rejected, skipped, validate, validation_counts, written_count
 from joeira.sinks.documents import to_json_text, write_documents
 from joeira.sources.text import read_patient_csv
 
@@ -27,6 +27,10 @@ class PatientJob:
     def rejected(self) -> DataFrame:
         return rejected(self.validated)
 
+    @property
+    def skipped(self) -> DataFrame:
+        return skipped(self.validated)
+
     @property
     def counts(self) -> DataFrame:
         return validation_counts(self.validated)

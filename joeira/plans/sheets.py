@@ -4,48 +4,50 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from joeira.operators.tracking import change_status, fingerprint, latest_revision, read_history, record_load
-from joeira.sinks.tables import check_format, padded, safe_name, write_table
-from joeira.sources.landing import ingest_all, read_sheet
+from joeira.operators.tracking import (
+    FINGERPRINT_SCHEMA, change_status, fingerprint, latest_revision, read_history, record_load,
+)
+from joeira.sinks.tables import check_format, padded, write_table
+from joeira.sources.landing import Sheet, find_sheet, ingest_all, read_path
 
 
-def sheet_rows(spark: SparkSession, landing: str, sheet_name: str) -> DataFrame:
-    """Rows of a sheet in the form in which they are stored and compared."""
-    return padded(read_sheet(spark, landing, sheet_name))
-
-
-def pending_change(spark: SparkSession, landing: str, sheet_name: str, history: str) -> DataFrame:
+def pending_change(
+    spark: SparkSession, landing: str, sheet_name: str, history: str, sheet_format: str | None = None
+) -> DataFrame:
     """How the sheet in the landing directory differs from its last import.
 
     One row: first import or not, content changed or not, old and new row
     count.  The content hash does not depend on row order, so a re-export that
     only splits the files differently counts as unchanged.
     """
-    source = safe_name(sheet_name)
-    now = fingerprint(sheet_rows(spark, landing, sheet_name), ordered=False)
-    known = latest_revision(read_history(spark, history).filter(F.col("source_id") == source))
-    return change_status(now.withColumn("source_id", F.lit(source)), known)
+    sheet = find_sheet(spark, landing, sheet_name, sheet_format)
+    now = fingerprint(padded(read_path(spark, sheet.path, sheet.format)), ordered=False)
+    known = latest_revision(read_history(spark, history).filter(F.col("source_id") == sheet.target))
+    return change_status(now.withColumn("source_id", F.lit(sheet.target)), known)
 
 
-def _store(sheet_name: str, rows: DataFrame, out_dir: str, history: str, fmt: str) -> str | None:
-    """Write and record one sheet under its file-safe name."""
-    if rows.isEmpty():
+def _store(sheet: Sheet, rows: DataFrame, out_dir: str, history: str, fmt: str) -> str | None:
+    """Write and record one sheet under its own name: one pass to hash and count, one to write."""
+    rows = padded(rows)
+    new = rows.sparkSession.createDataFrame(fingerprint(rows, ordered=False).collect(), FINGERPRINT_SCHEMA)
+    if new.first().row_count == 0:
         return None
-    rows, source = padded(rows), safe_name(sheet_name)
-    path = write_table(rows, out_dir, sheet_name, fmt)
-    record_load(rows, history, source, sheet_name, f"{source}.{fmt}", ordered=False)
+    path = write_table(rows, out_dir, sheet.target, fmt)
+    record_load(rows, history, sheet.target, sheet.name, f"{sheet.target}.{fmt}", ordered=False, new=new)
     return path
 
 
 def import_sheet(
-    spark: SparkSession, landing: str, sheet_name: str, out_dir: str, history: str, fmt: str = "csv"
+    spark: SparkSession, landing: str, sheet_name: str, out_dir: str, history: str, fmt: str = "csv",
+    sheet_format: str | None = None,
 ) -> str | None:
     """Import one sheet; returns its path, or None when it has no rows."""
     fmt = check_format(fmt)
-    return _store(sheet_name, read_sheet(spark, landing, sheet_name), out_dir, history, fmt)
+    sheet = find_sheet(spark, landing, sheet_name, sheet_format)
+    return _store(sheet, read_path(spark, sheet.path, sheet.format), out_dir, history, fmt)
 
 
 def import_all(spark: SparkSession, landing: str, out_dir: str, history: str, fmt: str = "csv") -> DataFrame:
     """Import every sheet, going on past failures; one status row per sheet."""
     fmt = check_format(fmt)
-    return ingest_all(spark, landing, lambda name, rows: _store(name, rows, out_dir, history, fmt))
+    return ingest_all(spark, landing, lambda sheet, rows: _store(sheet, rows, out_dir, history, fmt))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 
 def list_tables(spark: SparkSession) -> list[str]:
@@ -17,19 +17,34 @@ def get_table(spark: SparkSession, name: str) -> DataFrame:
     return spark.table(name)
 
 
+# What a number, date, flag or array element counts for.
+FIXED_WIDTH = 8
+
+
+def _size(name: str, kind: T.DataType) -> Column:
+    c = F.col(f"`{name}`")
+    if isinstance(kind, T.StringType):
+        return F.coalesce(F.length(c), F.lit(0))
+    if isinstance(kind, T.ArrayType):
+        return F.when(c.isNotNull(), F.size(c) * FIXED_WIDTH).otherwise(0)
+    return F.when(c.isNotNull(), F.lit(FIXED_WIDTH)).otherwise(0)
+
+
 def frame_stats(df: DataFrame, name: str) -> DataFrame:
-    """Row count and size of the rows as JSON, in one aggregate."""
-    text = F.to_json(F.struct("*"), {"ignoreNullFields": "false"})
+    """Row count and size of the rows, in one aggregate.
+
+    The size is that of the values whatever the file format: the characters of
+    texts, and ``FIXED_WIDTH`` for everything else, array elements one by one.
+    """
+    width = sum((_size(f.name, f.dataType).cast("bigint") for f in df.schema), F.lit(0).cast("bigint"))
     return (
-        df.select(F.length(text).cast("bigint").alias("n"))
-        .agg(F.count("*").alias("row_count"), F.coalesce(F.sum("n"), F.lit(0)).alias("json_chars"))
+        df.select(width.alias("n"))
+        .agg(F.count("*").alias("row_count"), F.coalesce(F.sum("n"), F.lit(0)).alias("size"))
         .select(
             F.lit(name).alias("table_name"),
             "row_count",
-            "json_chars",
-            F.round(
-                F.when(F.col("row_count") > 0, F.col("json_chars") / F.col("row_count")).otherwise(0.0), 6
-            ).alias("avg_row_chars"),
+            "size",
+            F.round(F.when(F.col("row_count") > 0, F.col("size") / F.col("row_count")).otherwise(0.0), 6).alias("avg_row_size"),
         )
     )
 

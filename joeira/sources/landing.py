@@ -7,6 +7,9 @@ landing directory without the extension.
 
 from __future__ import annotations
 
+import hashlib
+import re
+from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -18,23 +21,41 @@ from joeira.sources.text import read_quality_csv, read_sheet_json
 FORMATS = ("csv", "json", "parquet")
 
 
+def _roots(spark: SparkSession, landing: str) -> tuple[list[str], list[str]]:
+    """The full paths that ``landing`` (a folder, relative or with ``..``, or a pattern) stands for, and their folders."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(landing)
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = list(fs.globStatus(fs.makeQualified(where)) or [])
+    if not found:
+        raise FileNotFoundError(f"no landing folder {landing!r}")
+    paths = [s.getPath().toString() for s in found]
+    folders = [p if s.isDirectory() else s.getPath().getParent().toString() for s, p in zip(found, paths)]
+    return paths, sorted(set(folders), key=len, reverse=True)
+
+
 def list_sheets(spark: SparkSession, landing: str) -> DataFrame:
     """Name, format, path, size and change time of every sheet, by name.
 
-    Only file metadata is read; the content column is pruned away.
+    Only file metadata is read; the content column is pruned away.  A file
+    outside the landing folder fails the listing instead of leaving it short.
     """
+    paths, folders = _roots(spark, landing)
     files = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
-        .load(landing)
+        .load([re.sub(r"([\\{}\[\]*?^])", r"\\\1", p) for p in paths])
         .select("path", "length", "modificationTime")
     )
-    # The listing carries full paths; keep what follows the landing directory.
-    root = landing.removeprefix("file://").removeprefix("file:").rstrip("/") + "/"
-    below = F.expr("substring(path, instr(path, root) + length(root))")
-    files = files.withColumn("root", F.lit(root)).withColumn("_entry", F.substring_index(below, "/", 1))
+    # The listing carries full paths; keep what follows the landing folder.
+    root = F.coalesce(
+        *[F.when(F.startswith("path", F.lit(f.rstrip("/") + "/")), F.lit(f.rstrip("/") + "/")) for f in folders],
+        F.raise_error(F.concat(F.lit("file outside the landing folder: "), F.col("path"))).cast("string"),
+    )
+    files = files.withColumn("_root", root)
+    below = F.expr("substring(path, length(_root) + 1)")
     return (
-        files.groupBy("_entry")
+        files.groupBy("_root", F.substring_index(below, "/", 1).alias("_entry"))
         .agg(
             F.sum("length").alias("size_bytes"),
             F.max("modificationTime").alias("modified_time"),
@@ -43,16 +64,52 @@ def list_sheets(spark: SparkSession, landing: str) -> DataFrame:
         .select(
             F.regexp_replace("_entry", r"\.(csv|json|parquet)$", "").alias("sheet_name"),
             F.regexp_extract("_entry", r"\.(csv|json|parquet)$", 1).alias("format"),
-            F.concat(F.lit(landing.rstrip("/") + "/"), F.col("_entry")).alias("path"),
+            F.concat("_root", "_entry").alias("path"),
             "size_bytes",
             "modified_time",
             "files",
         )
         .filter(F.col("format") != "")
-        .orderBy("sheet_name", "format")
+        .orderBy("sheet_name", "format", "path")
     )
 
 
+@dataclass
+class Sheet:
+    """A sheet with the name its table and its history go by."""
+
+    name: str
+    format: str
+    path: str
+    target: str
+
+
+def named_sheets(spark: SparkSession, landing: str) -> list[Sheet]:
+    """Every sheet; those whose file-safe names are equal get a mark of their own.
+
+    The mark comes from the sheet's own name, format and folder, so it stays the
+    same from load to load.
+    """
+    rows = list_sheets(spark, landing).withColumn("safe", sanitise_name(F.col("sheet_name"))).collect()
+    times = Counter(r["safe"] for r in rows)
+    out = []
+    for r in rows:
+        mark = hashlib.sha256(r["path"].encode()).hexdigest()[:8]
+        target = r["safe"] if times[r["safe"]] == 1 else f"{r['safe']}-{mark}"
+        out.append(Sheet(r["sheet_name"], r["format"], r["path"], target))
+    return out
+
+
+def find_sheet(spark: SparkSession, landing: str, sheet_name: str, sheet_format: str | None = None) -> Sheet:
+    """The one sheet of this name; ``KeyError`` if there is none, ``ValueError`` if there are several."""
+    found = [s for s in named_sheets(spark, landing) if s.name == sheet_name and sheet_format in (None, s.format)]
+    if not found:
+        raise KeyError(f"no sheet named {sheet_name!r} in {landing}")
+    if len(found) > 1:
+        raise ValueError(f"{len(found)} sheets are named {sheet_name!r}, name a format or a folder: {[s.path for s in found]}")
+    return found[0]
+
+
 def read_path(spark: SparkSession, path: str, fmt: str) -> DataFrame:
     if fmt == "csv":
         return read_quality_csv(spark, path, na_tokens=(), numbered=False)
@@ -64,24 +121,19 @@ def read_path(spark: SparkSession, path: str, fmt: str) -> DataFrame:
 
 
 def read_sheet(
-    spark: SparkSession, landing: str, sheet_name: str | None = None, sheet_index: int = 0
+    spark: SparkSession, landing: str, sheet_name: str | None = None, sheet_index: int = 0, sheet_format: str | None = None
 ) -> DataFrame:
     """One sheet by name, or by position in name order.
 
-    Raises ``KeyError`` for an unknown name and ``IndexError`` for a position
-    outside the list.
+    Raises ``KeyError`` for an unknown name, ``ValueError`` for a name that
+    several sheets have, and ``IndexError`` for a position outside the list.
     """
-    sheets = list_sheets(spark, landing)
     if sheet_name is not None:
-        found = sheets.filter(F.col("sheet_name") == sheet_name).limit(1).collect()
-        if not found:
-            raise KeyError(f"no sheet named {sheet_name!r} in {landing}")
-    else:
-        if sheet_index < 0:
-            raise IndexError(f"sheet position {sheet_index} is out of range")
-        found = sheets.offset(sheet_index).limit(1).collect()
-        if not found:
-            raise IndexError(f"sheet position {sheet_index} is out of range")
+        sheet = find_sheet(spark, landing, sheet_name, sheet_format)
+        return read_path(spark, sheet.path, sheet.format)
+    found = list_sheets(spark, landing).offset(sheet_index).limit(1).collect() if sheet_index >= 0 else []
+    if not found:
+        raise IndexError(f"there is no sheet number {sheet_index} in {landing}")
     return read_path(spark, found[0]["path"], found[0]["format"])
 
 
@@ -93,24 +145,19 @@ class IngestedSheet:
     error: str | None
 
 
-def ingest_all(
-    spark: SparkSession,
-    landing: str,
-    save: Callable[[str, DataFrame], str],
-) -> DataFrame:
+def ingest_all(spark: SparkSession, landing: str, save: Callable[[Sheet, DataFrame], str | None]) -> DataFrame:
     """Hand every sheet to ``save`` and go on past the ones that fail.
 
-    ``save`` gets the sheet's file-safe name and rows, and returns where it
-    put them.  The result is one status row per sheet.
+    ``save`` gets the sheet and its rows, and returns where it put them.  The
+    result is one status row per sheet, with the whole text of an error.
     """
     done: list[IngestedSheet] = []
-    names = list_sheets(spark, landing).withColumn("safe_name", sanitise_name(F.col("sheet_name")))
-    for sheet in names.collect():
+    for sheet in named_sheets(spark, landing):
         try:
-            target = save(sheet["safe_name"], read_path(spark, sheet["path"], sheet["format"]))
-            done.append(IngestedSheet(sheet["sheet_name"], "ok", target, None))
+            target = save(sheet, read_path(spark, sheet.path, sheet.format))
+            done.append(IngestedSheet(sheet.name, "ok", target, None))
         except Exception as problem:  # one broken sheet must not stop the others
-            done.append(IngestedSheet(sheet["sheet_name"], "failed", None, str(problem)[:500]))
+            done.append(IngestedSheet(sheet.name, "failed", None, str(problem)))
     return spark.createDataFrame(
         [(s.name, s.status, s.path, s.error) for s in done],
         "sheet_name string, status string, path string, error string",

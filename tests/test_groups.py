@@ -94,3 +94,43 @@ def test_presence_distinct_and_shape(frame):
     assert {(r["column"], r.missing_count) for r in presence(df, ["a", "b"]).collect()} == {("a", 0), ("b", 2)}
     assert sorted(r.a for r in distinct_values(df, "a").collect()) == ["x", "y"]
     assert shape(df, "t").first()[0:3] == ("t", 3, 3)
+
+
+def test_serials_further_apart_than_a_number_can_say(frame, spark):
+    from joeira.operators.sequences import gap_ranges, id_serials, missing_numbers, missing_preview, sequences
+
+    df = frame("ID", ["25-9223372036854775800", "259223372036854775800", "2601", "2604"])
+    found = {r.year: r for r in sequences(id_serials(df)).collect()}
+    assert not found["25"].valid and found["25"].missing_count is None and found["25"].missing_share == 1.0
+    assert found["26"].valid and found["26"].missing_count == 2
+    gaps = gap_ranges(id_serials(df))
+    assert {(r.year, r.gap_len) for r in gaps.collect()} == {("25", None), ("26", 2)}
+    assert len(missing_numbers(gaps).limit(3).collect()) == 3
+    assert {r.year: r.missing_count for r in missing_preview(gaps).collect()} == {"25": None, "26": 2}
+
+
+def test_a_gap_longer_than_any_array(frame):
+    from joeira.operators.sequences import gap_ranges, id_serials, missing_numbers
+
+    gaps = gap_ranges(id_serials(frame("ID", ["2501", "2599999999999999999"])))
+    assert gaps.first().gap_len == 99999999999999999 - 2
+    assert len(missing_numbers(gaps).limit(3).collect()) == 3
+
+
+def test_missing_numbers_across_pieces_and_zero(spark):
+    from joeira.operators.sequences import gap_ranges, missing_numbers, sequences
+
+    far = spark.createDataFrame([("a", -70_000), ("a", 140_000), ("b", -2_000_000_000), ("b", 2_000_000_000)], "g string, n int")
+    rows = sequences(far, "g", "n").orderBy("g").collect()
+    assert [r.missing_count for r in rows] == [209_999, 3_999_999_999]
+    listed = missing_numbers(gap_ranges(far.filter("g = 'a'"), "g", "n"), "g")
+    one = listed.selectExpr("count(*) AS n", "count(DISTINCT missing_serial) AS d", "min(missing_serial) AS lo", "max(missing_serial) AS hi").first()
+    assert tuple(one) == (209_999, 209_999, -69_999, 139_999)
+
+
+def test_a_key_called_n(spark):
+    from joeira.operators.duplicates import duplicate_keys, duplicate_rows, duplicate_summary
+
+    df = spark.createDataFrame([(0, "x"), (1, "x"), (2, "y")], "row_idx int, n string")
+    assert [tuple(r) for r in duplicate_keys(df, "n").collect()] == [("x", 2, 0)]
+    assert duplicate_rows(df, "n").count() == 2 and duplicate_summary(df, "n").first().duplicate_rows == 2

@@ -40,3 +40,51 @@ def test_import_all(spark, folders):
     assert not pending_change(spark, str(landing), "Ward A", history).first().first_time
     with pytest.raises(ValueError):
         import_all(spark, str(landing), out, history, "excel")
+
+
+def _stored(spark, path, fmt):
+    reader = spark.read.option("header", "true") if fmt == "csv" else spark.read
+    return sorted(r.ID for r in reader.format(fmt).load(path).collect())
+
+
+def test_sheets_with_equal_safe_names_are_all_kept(spark, tmp_path):
+    landing, out, history = tmp_path / "land", str(tmp_path / "out"), str(tmp_path / "history")
+    landing.mkdir()
+    (landing / "A B.csv").write_text("ID\n1001\n")
+    (landing / "A_B.csv").write_text("ID\n2001\n2002\n")
+    (landing / "A B.json").write_text('{"ID": "3001"}\n')
+    for _ in range(2):
+        rows = import_all(spark, str(landing), out, history).collect()
+        assert [r.status for r in rows] == ["ok"] * 3 and len({r.path for r in rows}) == 3
+    stored = {r.sheet_name: [] for r in rows}
+    for r in rows:
+        stored[r.sheet_name].append(_stored(spark, r.path, "csv"))
+    assert sorted(stored["A B"]) == [["1001"], ["3001"]] and stored["A_B"] == [["2001", "2002"]]
+    known = read_history(spark, history).collect()
+    assert len({r.source_id for r in known}) == 3 and len(known) == 6
+    assert sorted(r.sheet_name for r in known) == ["A B"] * 4 + ["A_B"] * 2
+    assert all(len({r.revision_id for r in known if r.source_id == s}) == 1 for s in {r.source_id for r in known})
+    with pytest.raises(ValueError, match="2 sheets"):
+        import_sheet(spark, str(landing), "A B", out, history)
+    one = import_sheet(spark, str(landing), "A B", out, history, sheet_format="json")
+    assert one in {r.path for r in rows} and not pending_change(spark, str(landing), "A B", history, "json").first().content_changed
+
+
+def test_any_way_to_name_the_folder(spark, folders, monkeypatch):
+    from joeira.sources.landing import list_sheets
+
+    landing, *_ = folders
+    want = [tuple(r) for r in list_sheets(spark, str(landing)).collect()]
+    assert [r[0] for r in want] == ["Empty", "Ward A"]
+    root = str(landing.parent)
+    for form in (f"{root}/./landing", f"{root}/x/../landing/", f"{root}/land*", f"{root}/landing/*.csv", f"file:{root}/landing"):
+        assert [tuple(r) for r in list_sheets(spark, form).collect()] == want
+    with pytest.raises(FileNotFoundError):
+        list_sheets(spark, f"{root}/nowhere")
+
+
+def test_errors_are_told_whole(spark, folders):
+    landing, out, history = folders
+    (landing / "Bad.parquet").write_text("x" * 700)
+    status = {r.sheet_name: r for r in import_all(spark, str(landing), out, history).collect()}
+    assert status["Bad"].status == "failed" and "Bad.parquet" in status["Bad"].error and status["Ward A"].status == "ok"

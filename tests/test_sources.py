@@ -122,10 +122,10 @@ def test_listing_does_not_read_the_files(spark, sheets):
 
 
 def test_ingest_goes_on_past_a_failing_sheet(spark, sheets, tmp_path):
-    def store(name, df):
-        if name == "beds":
+    def store(sheet, df):
+        if sheet.name == "beds":
             raise OSError("disk says no")
-        return write_table(df, str(tmp_path / "out"), name, "csv")
+        return write_table(df, str(tmp_path / "out"), sheet.target, "csv")
 
     status = {r.sheet_name: r for r in landing.ingest_all(spark, sheets, store).collect()}
     assert {n: r.status for n, r in status.items()} == {"Big_Sheet_1": "ok", "Ward A": "ok", "beds": "failed"}
@@ -139,6 +139,6 @@ def test_catalog(spark):
     assert "some_table" in catalog.list_tables(spark)
     assert catalog.get_table(spark, "some_table").count() == 2
     row = catalog.table_stats(spark, "some_table").first()
-    assert (row.row_count, row.json_chars) == (2, len('{"n":1,"t":"a"}') + len('{"n":2,"t":null}'))
+    assert (row.row_count, row.size) == (2, 8 + 1 + 8)
     with pytest.raises(ValueError):
         catalog.table_stats(spark, "other_table")

@@ -52,3 +52,19 @@ def test_history(frame, spark, tmp_path):
     assert history.count() == 4
     newest = {r.source_id: (r.sheet_name, r.row_count, r.revision_id) for r in latest_revision(history).collect()}
     assert newest["sheet-1"] == ("Ward A", 3, changed.revision_id) and newest["sheet-2"][0] == "Ward B"
+
+
+def test_every_column_counts(spark):
+    df = spark.createDataFrame([(1, 0, "user", "a"), (1, 1, "bot", "b")], "conv_id bigint, turn bigint, role string, text string")
+    whole = fingerprint(df, ordered=False).first()
+    for c in df.columns:
+        changed = df.withColumn(c, F.lit(0).cast(df.schema[c].dataType))
+        assert fingerprint(changed, ordered=False).first().data_hash != whole.data_hash
+    moved = df.withColumnRenamed("conv_id", "row_idx")
+    assert fingerprint(moved, moved.columns, ordered=False).first().data_hash != fingerprint(moved.withColumn("row_idx", F.lit(0)), moved.columns, ordered=False).first().data_hash
+
+
+def test_names_with_commas_are_told_apart(spark):
+    one = spark.createDataFrame([("a", "b")], "`x,y` string, z string")
+    two = spark.createDataFrame([("a", "b")], "x string, `y,z` string")
+    assert fingerprint(one, ordered=False).first().data_hash != fingerprint(two, ordered=False).first().data_hash
