@@ -13,7 +13,7 @@ enc_base AS (
 enc_days AS (SELECT *, d + CAST(k%90-5 AS INT) AS e FROM enc_base),
 enc AS (
   SELECT k AS row_idx,
-    CASE WHEN k%97=0 THEN NULL WHEN k%89=0 THEN concat('X', CAST(k AS VARCHAR))
+    CASE WHEN k%97=0 THEN NULL WHEN k%89=0 THEN concat('X', CAST((k // 89) % 40 AS VARCHAR))
          ELSE concat(lpad(CAST((year(d)+CASE WHEN k%53=0 THEN 1 ELSE 0 END)%100 AS VARCHAR),2,'0'),
                      lpad(CAST(k%997 AS VARCHAR),3,'0')) END AS ID,
     CASE WHEN k%61=0 THEN NULL WHEN k%59=0 THEN concat('P/',CAST(ck AS VARCHAR)) ELSE CAST(ck AS VARCHAR) END AS processo,
@@ -128,7 +128,8 @@ def issues(*names: str) -> str:
 
 def examples(*names: str) -> str:
     return der(
-        f"""SELECT "check", "column", row_idx, id, value, number, against, rank FROM (
+        f"""SELECT "check", "column", CASE WHEN "check" = 'id_pattern' THEN min(row_idx) OVER (PARTITION BY "check", id) ELSE row_idx END AS row_idx,
+  id, value, number, against, rank FROM (
   SELECT *, CAST(row_number() OVER (PARTITION BY "check" ORDER BY rank_key, row_idx) AS INTEGER) AS rank
   FROM ({_issues(*names)})) WHERE rank <= wanted"""
     )
@@ -366,15 +367,25 @@ def _shown(section: int, part: int, check: str, text: str) -> str:
     return _text_line(section, part, "rank", text, "shown", f""""check" = '{check}' AND rank <= 3""")
 
 
-def _report() -> str:
+def _report(years: bool = False) -> str:
+    """``years``: only 1997 to 1999, with a file profile that has a name but no size."""
     who = "'  - ID ''', coalesce(id, ''), ''''"
     dated, valued = f"concat({who}, ' has date ''', value, '''')", f"concat({who}, ' has value ''', value, '''')"
     columns = "ID, processo, nome, data_ent, data_alta, destino, sexo, data_nasc, origem"
     out = _fixed_text(0, 0, "# Quality Control Report - 2000-06-30 00:00", "", "**File:** orders", "")
-    out += _fixed_text(0, 0, "**Scope:** Full database (no filters applied)", first=5)
+    if years:
+        out += _fixed_text(0, 0, "**Filter:** Showing records from years 2099 to 2097", first=4)
+        kept = _percent("(SELECT count(*) FROM enc)", "(SELECT count(*) FROM orders)").replace("%.2f", "%.1f")
+        out.append(_text_line(0, 0, "5", f"""concat('**Records:** ', format('{{:,}}', (SELECT count(*) FROM enc)), ' of ',
+  format('{{:,}}', (SELECT count(*) FROM orders)), ' total (', {kept}, ')')""", "(SELECT 1)"))
+    else:
+        out += _fixed_text(0, 0, "**Scope:** Full database (no filters applied)", first=5)
     out += _fixed_text(1, 0, "", "## File Analysis", "")
-    out.append(_text_line(1, 0, "3", "concat('- **Total Rows:** ', (SELECT count(*) FROM enc))", "(SELECT 1)"))
-    out += _fixed_text(1, 0, "- **Total Columns:** 9", "", f"**Columns:** {columns}", first=4)
+    if years:
+        out += _fixed_text(1, 0, "- **File Name:** orders.parquet", "- **File Path:** orders", "- **File Size:** 0.00 KB", first=3)
+    more = 3 if years else 0
+    out.append(_text_line(1, 0, str(3 + more), "concat('- **Total Rows:** ', (SELECT count(*) FROM enc))", "(SELECT 1)"))
+    out += _fixed_text(1, 0, "- **Total Columns:** 9", "", f"**Columns:** {columns}", first=4 + more)
     titles = ["ID", "Admission Date", "Discharge Date", "Birth Date", "Processo", "Nome", "Sexo", "Destino", "Origem"]
     for section, title in enumerate(titles, start=2):
         out += _fixed_text(section, 0, "", f"## {title} Analysis", "")
@@ -395,10 +406,8 @@ FROM shown WHERE "check" = '{check}' AND rank <= 5 HAVING count(*) > 0"""
   ELSE concat('- **Duplicate IDs:** ', CAST(sum(n) AS BIGINT), ' (', {_percent('sum(n)', '(SELECT count(*) FROM enc)')}, ')') END FROM {_DUPLICATES}"""
     )
     out.append(
-        f"""SELECT 2, 4, first_row, concat('  - ID ''', ID, ''' in rows: ', lines, CASE WHEN n > shown THEN concat(', ... (', n - shown, ' more)') ELSE '' END) FROM (
-  SELECT d.ID, n, first_row, count(*) AS shown, string_agg(CAST(row_idx + 2 AS VARCHAR), ', ' ORDER BY row_idx) AS lines FROM (
-    SELECT ID, row_idx, row_number() OVER (PARTITION BY ID ORDER BY row_idx) AS r FROM enc) e
-  JOIN (SELECT * FROM {_DUPLICATES} ORDER BY first_row LIMIT 3) d ON e.ID = d.ID WHERE r <= 10 GROUP BY d.ID, n, first_row)"""
+        f"""SELECT 2, 4, place * 1125899906842624 + row_idx, concat('  - ID ''', d.ID, ''' in row ', row_idx + 2) FROM enc
+  JOIN (SELECT *, row_number() OVER (ORDER BY first_row) AS place FROM (SELECT * FROM {_DUPLICATES} ORDER BY first_row LIMIT 3)) d ON enc.ID = d.ID"""
     )
     out += _fixed_text(
         2, 5, "", "**ID Sequence Analysis by Year:**", "| Year | Count | Min Serial | Max Serial | Missing Values |",
@@ -412,7 +421,7 @@ FROM ({_sequence('year', 'serial', _SERIALS)})"""
     out += _fixed_text(2, 10, "", "**ID Pattern Consistency:**")
     bad = "CASE WHEN failed_count > 0 THEN concat('- Invalid IDs: ', failed_count) ELSE '- All IDs follow the expected pattern.' END"
     out.append(_text_line(2, 10, "2", bad, "counted", """"check" = 'id_pattern'"""))
-    out.append(_shown(2, 11, "id_pattern", f"concat({who}, ' in row ', row_idx + 2)"))
+    out.append(_shown(2, 11, "id_pattern", f"concat({who}, ' in row ', first_row + 2)"))
     # dates
     for section, label in ((3, "admission"), (4, "discharge"), (5, "birth")):
         out.append(_counted_line(section, 3, "Invalid Date Formats", f"{label}_format", True, False))
@@ -446,8 +455,14 @@ FROM enc WHERE coalesce({c}, '') <> '' GROUP BY {c}"""
     out.append(_counted_line(8, 10, "Unexpected Values", "sexo_unexpected", False, True, 1, dash=""))
     out.append(_shown(8, 11, "sexo_unexpected", valued))
     lines = "\nUNION ALL ".join(out)
-    return f"""WITH {DER}, counted AS ({_counts()}),
-shown AS (SELECT *, row_number() OVER (PARTITION BY "check" ORDER BY rank_key, row_idx) AS rank FROM ({_issues()}))
+    tables = DER
+    if years:
+        tables = DER.replace("\nenc AS (", "\nenc_all AS (", 1).replace(
+            "FROM enc_days)", "FROM enc_days),\nenc AS (SELECT * FROM enc_all WHERE regexp_matches(ID, '^[0-9]{2}') AND TRY_CAST(substr(ID,1,2) AS INT) BETWEEN 97 AND 99)", 1
+        )
+    return f"""WITH {tables}, counted AS ({_counts()}),
+shown AS (SELECT *, row_number() OVER (PARTITION BY "check" ORDER BY rank_key, row_idx) AS rank,
+  min(row_idx) OVER (PARTITION BY "check", id) AS first_row FROM ({_issues()}))
 SELECT section, part, rank, text FROM ({lines})"""
 
 
@@ -559,6 +574,7 @@ EXPECTED_SQL: dict[str, str] = {
     "issues": issues(),
     "findings": der(_findings()),
     "report_lines": _report(),
+    "report_filtered": _report(years=True),
     "pad_ids": enc(
         "SELECT row_idx, CASE WHEN length(processo) < 4 THEN lpad(processo, 4, '0') ELSE processo END AS padded FROM enc"
     ),

@@ -41,6 +41,7 @@ class Check:
     number: Column | None = None
     against: Column | None = None
     rank_key: Column | None = None
+    first_row_of_id: bool = False  # an example shows the first row that holds its ID
 
     def in_scope(self) -> Column:
         return F.lit(True) if self.scope is None else F.coalesce(self.scope, F.lit(False))
@@ -71,9 +72,11 @@ def missing_check(column: str, name: str | None = None, null_only: bool = False,
     return Check(name or f"{column}_missing", column, test, examples=examples)
 
 
-def pattern_check(column: str, pattern: str, name: str, null_only: bool = False, examples: int = 10) -> Check:
+def pattern_check(
+    column: str, pattern: str, name: str, null_only: bool = False, examples: int = 10, first_row_of_id: bool = False
+) -> Check:
     scope = F.col(column).isNotNull() if null_only else is_present(column)
-    return Check(name, column, ~F.col(column).rlike(pattern), scope, examples, value=F.col(column))
+    return Check(name, column, ~F.col(column).rlike(pattern), scope, examples, value=F.col(column), first_row_of_id=first_row_of_id)
 
 
 def allowed_check(column: str, allowed: Sequence[str], name: str | None = None, examples: int = 10) -> Check:
@@ -143,7 +146,7 @@ def standard_checks(columns: Sequence[str], as_of: dt.date) -> list[Check]:
     out: list[Check] = []
     if "ID" in have:
         out.append(missing_check("ID", "id_missing", null_only=True))
-        out.append(pattern_check("ID", ID_PATTERN, "id_pattern", null_only=True, examples=5))
+        out.append(pattern_check("ID", ID_PATTERN, "id_pattern", null_only=True, examples=5, first_row_of_id=True))
     out += _date_checks(have)
     if {"ID", "data_ent"} <= have:
         date = F.col("q_data_ent")
@@ -219,14 +222,21 @@ def first_examples(issues: DataFrame, checks: Sequence[Check]) -> DataFrame:
     """The first rows of every check, as many as the check asks for.
 
     The rank filter is pushed into every task before the shuffle, so a check
-    that very many rows fail still moves only a few rows per task.
+    that very many rows fail still moves only a few rows per task.  Where the
+    check says so, an example shows the first row of its ID: if one of an ID's
+    failing rows is among the first, so is the first of them.
     """
     limits = F.create_map(*[F.lit(x) for c in checks for x in (c.name, c.examples)])
     order = W.partitionBy("check").orderBy("rank_key", "row_idx")
     most = max(c.examples for c in checks)
-    return (
+    first = (
         issues.withColumn("rank", F.row_number().over(order))
         .filter(F.col("rank") <= most)
         .filter(F.col("rank") <= limits[F.col("check")])
         .drop("rank_key")
     )
+    by_id = [c.name for c in checks if c.first_row_of_id]
+    if not by_id:
+        return first
+    earliest = F.min("row_idx").over(W.partitionBy("check", "id"))
+    return first.withColumn("row_idx", F.when(F.col("check").isin(*by_id), earliest).otherwise(F.col("row_idx")))

@@ -44,7 +44,8 @@ def count_values(df: DataFrame, texts: Mapping[str, Column], numbers: Mapping[st
 
 def frequencies(counted: DataFrame, kinds: list[str]) -> DataFrame:
     """Frequencies of several text columns from ``count_values``."""
-    mine = counted.filter(F.col("kind").isin(*kinds) & F.col("value").isNotNull())
+    # The test is on the counts, so it stays above the grouping, whose shuffle then serves the statistics as well.
+    mine = counted.filter(F.when(F.col("kind").isin(*kinds) & F.col("value").isNotNull(), F.col("n")).otherwise(0) > 0)
     totals = mine.groupBy("kind").agg(F.sum("n").alias("total"))
     # One total per column name, so the small side has at most len(kinds) rows.
     return mine.join(F.broadcast(totals), "kind").select(

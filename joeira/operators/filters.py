@@ -72,14 +72,21 @@ def filter_by_year(df: DataFrame, text: str | None) -> DataFrame:
     return df.filter(in_year_filter(F.col("ID"), text))
 
 
+def filter_label(text: str | None) -> tuple[str, str | None]:
+    """Kind of a filter (none, single or range) and what a report calls it."""
+    if not text:
+        return "none", None
+    years = parse_year_filter(text, strict=True)
+    if "-" in text:
+        return "range", f"20{years.newest:02d} to 20{years.oldest:02d}"
+    return "single", f"20{years.newest:02d}"
+
+
 def filter_summary(df: DataFrame, text: str | None) -> DataFrame:
     """What the filter keeps: one row, one pass, no filter needed first."""
-    kind, label, test = "none", None, F.lit(True)
-    if text and "ID" in df.columns:
-        years = parse_year_filter(text, strict=True)
-        kind = "range" if "-" in text else "single"
-        label = f"20{years.newest:02d}" if kind == "single" else f"20{years.newest:02d} to 20{years.oldest:02d}"
-        test = in_year_filter(F.col("ID"), text)
+    text = text if "ID" in df.columns else None
+    kind, label = filter_label(text)
+    test = in_year_filter(F.col("ID"), text) if text else F.lit(True)
     return df.agg(
         F.count("*").alias("total_records"), F.count_if(test).alias("filtered_records")
     ).select(

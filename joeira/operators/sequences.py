@@ -30,23 +30,33 @@ def id_serials(df: DataFrame) -> DataFrame:
     )
 
 
-def _distinct(df: DataFrame, group: str, number: str) -> DataFrame:
-    return df.groupBy(group, number).agg(F.count("*").alias("_n"))
+def id_serials_of(counted: DataFrame, count: str = "n") -> DataFrame:
+    """``id_serials`` from rows per ID, with their number; see ``duplicates.repeated_keys`` for the form of the filter."""
+    rows = F.when(F.col("ID").isNotNull() & F.col("first_row").isNotNull(), F.col(count)).otherwise(0)
+    return counted.filter(rows > 0).select(
+        year_prefix(F.col("ID")).alias("year"), serial_from_id(F.col("ID")).alias("serial"), F.col(count).alias("_rows")
+    )
+
+
+def _distinct(df: DataFrame, group: str, number: str, weight: str | None = None) -> DataFrame:
+    rows = F.count("*") if weight is None else F.sum(weight)
+    return df.groupBy(group, number).agg(rows.alias("_n"))
 
 
-def sequences(df: DataFrame, group: str = "year", number: str = "serial") -> DataFrame:
+def sequences(df: DataFrame, group: str = "year", number: str = "serial", weight: str | None = None) -> DataFrame:
     """Rows, smallest and largest number, and how many are missing between.
 
     Rows are first folded to distinct (group, number) pairs, so a group with
     very many rows costs its reducer only its distinct numbers.  A group is not
     ``valid`` without any number, or if more numbers are missing than a BIGINT
-    can say; its ``missing_count`` is null then.
+    can say; its ``missing_count`` is null then.  With ``weight`` a row of ``df``
+    stands for that many rows.
     """
     # Two serials may be more than a BIGINT apart.
     span = F.col("max_serial").cast("decimal(20,0)") - F.col("min_serial").cast("decimal(20,0)") + 1
     missing = span - F.col("distinct_serials")
     return (
-        _distinct(df, group, number)
+        _distinct(df, group, number, weight)
         .groupBy(group)
         .agg(
             F.sum("_n").alias("count"),

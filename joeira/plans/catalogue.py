@@ -121,15 +121,11 @@ def patients_over_50(spark, sf_dir):
 
 
 def id_pattern_examples(spark, sf_dir):
-    """First badly formed IDs, each with the first row that holds it.
-
-    The first row of an ID that is among the first examples is one of them.
-    """
+    """First badly formed IDs, each with the first row that holds it."""
     q = quality(spark, sf_dir, "ID")
     wanted = _only(q.checks, "id_pattern")
     found = first_examples(list_issues(q.rows, wanted), wanted)
-    first = found.groupBy("id").agg(F.min("row_idx").alias("first_row"))
-    return found.join(F.broadcast(first), "id").select("rank", "id", "first_row")
+    return found.select("rank", "id", F.col("row_idx").alias("first_row"))
 
 
 def id_year_prefixes(spark, sf_dir):
@@ -293,6 +289,15 @@ def report_lines(spark, sf_dir):
     return quality(spark, sf_dir).report("orders", dt.datetime(2000, 6, 30))
 
 
+def report_filtered(spark, sf_dir):
+    """The report on some years, with the profile of a file in its file section (less its path and size)."""
+    profile = table_profile(table(spark, sf_dir, "orders"), "orders").withColumns(
+        {"file_path": F.lit("orders"), "file_size_kb": F.lit(0.0)}
+    )
+    q = QualityResult(encounters(spark, sf_dir), AS_OF, "97-99", profile)
+    return q.report("orders", dt.datetime(2000, 6, 30))
+
+
 # -- projections -----------------------------------------------------------
 
 
@@ -555,6 +560,7 @@ QUERIES: dict[str, Query] = {
     "issues": all_issues,
     "findings": findings,
     "report_lines": report_lines,
+    "report_filtered": report_filtered,
     "pad_ids": pad_ids,
     "id_parts": id_parts,
     "parse_dates_lenient": parse_dates_lenient,

@@ -35,7 +35,7 @@ def _expressions() -> dict[str, Column]:
     return {
         "row_idx": k,
         "ID": F.when(every(97), F.lit(None))
-        .when(every(89), F.concat(F.lit("X"), _text(k)))
+        .when(every(89), F.concat(F.lit("X"), _text(F.floor(k / 89) % 40)))
         .otherwise(F.concat(F.lpad(_text(id_year), 2, "0"), F.lpad(_text(k % 997), 3, "0"))),
         "processo": F.when(every(61), F.lit(None))
         .when(every(59), F.concat(F.lit("P/"), _text(F.col("o_custkey"))))

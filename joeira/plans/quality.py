@@ -13,10 +13,14 @@ from joeira.functions.dates import as_of_date
 from joeira.operators.checks import Check, count_checks, first_examples, list_issues, standard_checks
 from joeira.operators.derive import derive
 from joeira.operators.distributions import age_histogram, count_values, frequencies, number_stats, summarise
-from joeira.operators.duplicates import duplicate_keys, duplicate_rows, duplicate_summary, first_duplicates
+from joeira.operators.duplicates import (
+    duplicate_keys, duplicate_rows, key_counts, rows_of_first_duplicates, summary_of,
+)
 from joeira.operators.profile import table_profile
 from joeira.operators.filters import filter_by_year, filter_summary
-from joeira.operators.sequences import gap_ranges, id_serials, missing_numbers, sequences, unusual_years, year_prefixes
+from joeira.operators.sequences import (
+    gap_ranges, id_serials, id_serials_of, missing_numbers, sequences, unusual_years, year_prefixes,
+)
 from joeira.session import written
 from joeira.sources.text import read_quality_csv
 
@@ -36,8 +40,10 @@ def _metric(column, check, metric, value):
 class QualityResult:
     """Every result of a run as a lazy frame.
 
-    Four passes over the rows give everything: one aggregate for all checks, one grouped count for all frequencies and statistics, one
-    grouping by ID, and one listing of the failing rows.
+    Five passes over the rows give the report: one aggregate for all checks, one
+    grouped count for all frequencies and statistics, one grouping by ID for
+    repeated IDs and sequences, one listing of the failing rows, and one for the
+    rows of the first repeated IDs.
     """
 
     source: DataFrame
@@ -91,6 +97,11 @@ class QualityResult:
     def age_histogram(self) -> DataFrame:
         return age_histogram(self.value_counts.filter("kind = 'age'"))
 
+    @cached_property
+    def id_counts(self) -> DataFrame:
+        """Rows and first row of every ID, from which the results on IDs are read."""
+        return key_counts(self.rows.select("ID", "row_idx"))
+
     @cached_property
     def duplicate_ids(self) -> DataFrame:
         return duplicate_keys(self.rows)
@@ -101,15 +112,16 @@ class QualityResult:
 
     @cached_property
     def duplicate_summary(self) -> DataFrame:
-        return duplicate_summary(self.rows)
+        return summary_of(self.id_counts)
 
     @cached_property
     def first_duplicates(self) -> DataFrame:
-        return first_duplicates(self.rows)
+        """Every row of the first three repeated IDs."""
+        return rows_of_first_duplicates(self.rows, self.id_counts)
 
     @cached_property
     def sequences(self) -> DataFrame:
-        return sequences(id_serials(self.rows))
+        return sequences(id_serials_of(self.id_counts), weight="_rows")
 
     @cached_property
     def gaps(self) -> DataFrame:

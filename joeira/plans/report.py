@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from joeira.functions.values import percent, share
+from joeira.operators.filters import filter_label
 
 TITLES = {
     "file": "File Analysis",
@@ -221,13 +222,36 @@ def _head_lines(file_name: str, written_at: dt.datetime) -> list[Column]:
     return [_line(0, 0, t, i) for i, t in enumerate(texts)]
 
 
-def _opening_lines(q, file_name: str, written_at: dt.datetime) -> DataFrame:
-    """Heading and file section, from the filter summary and the file profile."""
+def _with_totals(q, figures: DataFrame) -> DataFrame:
+    """The figures with what the heading tells: read off them, as far as they know it."""
+    whole = next((c.name for c in q.checks if c.scope is None), None)
+    shown = q.year_filter if q.year_filter and "ID" in q.source.columns else None
+    p = None
+    if q.profile is not None:
+        p = q.profile.select(F.struct("file_name", "file_path", "file_size_kb", "row_count").alias("p")).scalar()
+    if whole is None:
+        known = q.filter_info.select(F.struct("*").alias("known")).scalar()
+        figures = figures.withColumn("known", known).select("figures", "known.*")
+    else:
+        kept = _Figures(set()).count(whole, "scope_count")
+        if not shown:
+            total = kept
+        elif p is not None:
+            total = p["row_count"]
+        else:
+            total = q.source.select(F.lit(1)).agg(F.count("*")).scalar()
+        kind, label = filter_label(shown)
+        figures = figures.withColumns({"filtered_records": kept, "total_records": total}).withColumns({
+            "is_filtered": F.lit(bool(shown)), "filter_type": F.lit(kind), "filter_value": F.lit(label).cast("string"),
+            "kept_share": F.round(share(F.col("filtered_records"), F.col("total_records")), 6),
+        })
+    return figures if p is None else figures.withColumn("p", p).select("*", "p.file_name", "p.file_path", "p.file_size_kb")
+
+
+def _opening_lines(q, file_name: str, written_at: dt.datetime) -> list[Column]:
+    """Heading and file section."""
     s, p = SECTION["file"], q.profile
     names = [c for c in q.source.columns if c != "row_idx"]
-    known = q.filter_info
-    if p is not None:
-        known = known.withColumns({c: p.select(c).scalar() for c in ("file_name", "file_path", "file_size_kb")})
     texts = [F.lit(""), F.lit(f"## {TITLES['file']}"), F.lit("")]
     if p is not None:
         texts += [
@@ -241,19 +265,18 @@ def _opening_lines(q, file_name: str, written_at: dt.datetime) -> DataFrame:
         F.lit(""),
         F.lit(f"**Columns:** {', '.join(names)}"),
     ]
-    file_lines = [_line(s, 0, t, i) for i, t in enumerate(texts)]
-    return known.select(F.inline(F.array(*_head_lines(file_name, written_at), *file_lines)))
+    return [*_head_lines(file_name, written_at), *[_line(s, 0, t, i) for i, t in enumerate(texts)]]
+
+
+# Rows of one ID follow each other in the report: below this many fit between two IDs.
+ROWS_OF_ID = 1 << 50
 
 
 def _id_lines(q) -> list[DataFrame]:
     s = SECTION["ID"]
-    more = F.when(F.col("n_more") > 0, F.concat(F.lit(", ... ("), F.col("n_more").cast("string"), F.lit(" more)")))
     repeated = q.first_duplicates.select(
-        F.lit(s).alias("section"), F.lit(SECOND_LIST).alias("part"), F.col("first_row").alias("rank"),
-        F.concat(
-            F.lit("  - ID '"), F.col("ID"), F.lit("' in rows: "),
-            F.array_join(F.col("lines").cast("array<string>"), ", "), F.coalesce(more, F.lit("")),
-        ).alias("text"),
+        F.lit(s).alias("section"), F.lit(SECOND_LIST).alias("part"), (F.col("place") * ROWS_OF_ID + F.col("row_idx")).alias("rank"),
+        F.concat(F.lit("  - ID '"), F.col("ID"), F.lit("' in row "), (F.col("row_idx") + 2).cast("string")).alias("text"),
     )
 
     def cell(c: str, absent: str) -> Column:
@@ -291,11 +314,10 @@ def report_lines(q, file_name: str = "", written_at: dt.datetime | None = None)
             F.collect_list(F.struct(F.concat_ws(".", check, "metric").alias("k"), F.coalesce("value", F.lit(0.0)).alias("v")))
         ).alias("figures")
     )
-    parts = [_opening_lines(q, file_name, written_at)]
-    lines = _figure_lines(_Figures(have))
-    if lines:
-        parts.append(figures.select(F.inline(F.array(*lines))))
-    parts.append(_example_lines(q.examples))
+    lines = [*_opening_lines(q, file_name, written_at), *_figure_lines(_Figures(have))]
+    parts = [_with_totals(q, figures).select(F.inline(F.array(*lines)))]
+    if q.checks:
+        parts.append(_example_lines(q.examples))
     if "ID" in have:
         parts += _id_lines(q)
     if have & {"sexo", "destino", "origem"}:

@@ -33,7 +33,8 @@ def test_report_of_a_file(spark, tmp_path):
         "- **Missing IDs:** 1 (25.00%)",
         "  - Examples: Rows 4",
         "- **Duplicate IDs:** 2 (50.00%)",
-        "  - ID '2501' in rows: 2, 3",
+        "  - ID '2501' in row 2",
+        "  - ID '2501' in row 3",
         "| 25 | 3 | 1 | 4 | 2 |",
         "- All IDs follow the expected pattern.",
         "- **Invalid Date Formats:** 1",
@@ -67,3 +68,25 @@ def test_filter_line_and_absent_columns(frame):
     assert "**Records:** 2 of 3 total (66.7%)" in lines
     assert [t for t in lines if t.startswith("## ")] == ["## File Analysis", "## ID Analysis", "## Sexo Analysis"]
     assert "- **Duplicate IDs:** None" in lines
+
+
+def scans(q) -> int:
+    """File scans that ran; shuffles that were used again do not count."""
+    df = q.report("x", WHEN)
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].count("FileScan")
+
+
+def test_report_reads_the_rows_five_times(spark, tmp_path):
+    rows = [(k, f"25{k % 40:02d}", "1", "n", "1-1-2025", "3-1-2025", "H", "M", "1-1-1980", "E") for k in range(200)]
+    names = "row_idx int, ID string, processo string, nome string, data_ent string, data_alta string, destino string, sexo string, data_nasc string, origem string"
+    spark.createDataFrame(rows, names).write.parquet(str(tmp_path / "p"))
+    q = run_quality(spark.read.parquet(str(tmp_path / "p")), "2025-06-30")
+    assert scans(q) <= 5
+
+
+def test_repeated_bad_ids_show_their_first_row(frame):
+    q = run_quality(frame("ID", ["2501", "x", "2502", "x", "x"]), "2025-06-30")
+    bad = [r.text for r in q.report("x", WHEN).filter("section = 2 AND part = 11").collect()]
+    assert bad == ["  - ID 'x' in row 3"] * 3
+    assert [r.row_idx for r in q.examples.filter("check = 'id_pattern'").collect()] == [1, 1, 1]
