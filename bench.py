@@ -3,7 +3,7 @@
 ``BENCH_SF_DIR``   tables to run on (default ``/root/testdata/sf0.1``)
 ``BENCH_CPUS``     cores for ``local[n]`` (default 8)
 ``BENCH_GROW``     also run the order-based queries on tables enlarged this
-                   many times, written once to ``BENCH_GROW_DIR``
+                   many times, written once to ``BENCH_GROW_DIR`` (to be set as well)
 
 Every query runs to its end into a sink that drops the rows.  One run warms
 the JVM up, the better of the next two counts.
@@ -51,7 +51,7 @@ def grow(spark, sf_dir: str, times: int) -> str:
     """The same tables with ``times`` copies of the orders under new keys."""
     from pyspark.sql import functions as F
 
-    out = os.environ.get("BENCH_GROW_DIR", f"/tmp/joeira-grown-x{times}")
+    out = f"{os.environ['BENCH_GROW_DIR']}/x{times}"
     if not Path(out, "orders.parquet", "_SUCCESS").exists():
         for name in ("customer", "orders"):
             df = spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -171,7 +171,7 @@ def _present(name: str) -> str:
     )
 
 
-# -- validation --------------------------------------------------------------
+# Validation.
 
 
 def _lenient(c: str) -> str:
@@ -228,7 +228,7 @@ def _json(pretty: bool = False) -> str:
     return f"'{{\n  ' || {inner} || '\n}}'" if pretty else f"'{{' || {inner} || '}}'"
 
 
-# -- tables, fingerprints ----------------------------------------------------
+# Tables, fingerprints.
 
 _COLUMNS = {
     "region": "r_regionkey, r_name",
@@ -340,7 +340,7 @@ _FREQUENCIES = "\nUNION ALL ".join(
 FROM enc WHERE coalesce({c}, '') <> '' GROUP BY {c}""" for c in ("sexo", "destino", "origem")
 )
 
-# -- report ------------------------------------------------------------------
+# Report.
 
 
 def _text_line(section: int, part: int, rank: str, text: str, source: str, where: str = "true") -> str:
@@ -466,7 +466,36 @@ shown AS (SELECT *, row_number() OVER (PARTITION BY "check" ORDER BY rank_key, r
 SELECT section, part, rank, text FROM ({lines})"""
 
 
+_CELLS = ["ID", "processo", "nome", "data_ent", "data_alta", "destino", "sexo", "data_nasc", "origem"]
+
+
+def _csv_line(n: int) -> str:
+    return " || ',' || ".join(f"CASE WHEN {c} = '' THEN '\"\"' ELSE coalesce({c}, '') END" for c in _CELLS[:n])
+
+
+# How many cells a line has; what is behind the end is not there, what is blank is read as null.
+_N_CELLS = "CASE WHEN row_idx % 43 = 0 THEN 2 WHEN row_idx % 13 = 0 THEN 7 WHEN row_idx % 17 = 0 THEN 10 ELSE 9 END"
+_LINE = f"""CASE WHEN row_idx % 43 = 0 THEN {_csv_line(2)} WHEN row_idx % 13 = 0 THEN {_csv_line(7)}
+  WHEN row_idx % 17 = 0 THEN {_csv_line(9)} || ',more' ELSE {_csv_line(9)} END"""
+_READ = ", ".join(f"CASE WHEN {_N_CELLS} > {i} THEN nullif({c}, '') END AS {c}" for i, c in enumerate(_CELLS))
+# Validation cannot tell a blank cell from none, so on a line of the right length it counts as empty.
+_FILLED = ", ".join(
+    f"CASE WHEN {_N_CELLS} = 9 THEN coalesce({c}, '') WHEN {_N_CELLS} > {i} THEN nullif({c}, '') END AS {c}"
+    for i, c in enumerate(_CELLS) if c in ("processo", "nome", "destino")
+)
+_REASONS = f"""concat_ws(',', CASE WHEN coalesce(ID, '') = '' THEN 'id_missing' END, CASE WHEN nome IS NULL THEN 'nome_missing' END,
+  CASE WHEN processo IS NOT NULL AND {_NUMBER} IS NULL THEN 'processo_invalid' END)"""
+
 EXPECTED_SQL: dict[str, str] = {
+    "csv_lines": enc(f"SELECT row_idx, {_LINE} AS line FROM enc"),
+    "csv_cells": enc(f"SELECT row_idx, {_READ}, {_N_CELLS} <> 9 AS wrong_length FROM enc"),
+    "csv_validated": enc(
+        f"""SELECT row_idx, ID, nome, {_NUMBER} AS processo, destino, {_REASONS} AS reasons FROM (
+  SELECT row_idx, ID, {_FILLED} FROM enc)"""
+    ),
+    "json_lines": enc(
+        f"""SELECT *, CAST(length(to_json({{{', '.join(f"'{c}': {c}" for c in _CELLS)}}})::VARCHAR) AS INTEGER) AS json_chars FROM enc"""
+    ),
     "encounters": enc("SELECT * FROM enc"),
     "year_filter_single": enc("SELECT * FROM enc WHERE ID LIKE '99%'"),
     "year_filter_range": enc(

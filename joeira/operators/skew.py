@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-# A key is hot above this share of the rows; at most that many keys can be.
-HOT_PARTS = 1024
-# Below this many rows a key is never worth splitting.
+# A salt of a hot key gets about so many rows.
 HOT_ROWS = 1_000_000
+# At most so many keys are split, which bounds the list of them that is broadcast.
+HOT_KEYS = 65_536
 
 
 def join_counted_keys(
@@ -15,14 +15,16 @@ def join_counted_keys(
 ) -> DataFrame:
     """Inner join of ``rows`` with ``keys`` (one row per key, with its count).
 
-    A hot key's rows are spread over as many salts as it holds 1/1024 shares
-    of all rows, and its one row in ``keys`` is repeated per salt.  Fewer than
-    1024 keys can be hot, whatever the data, so their list may be broadcast.
+    A key with more than ``hot_rows`` rows is spread over as many salts as it
+    holds that many, and its one row in ``keys`` is repeated per salt.  On a table
+    where more than ``HOT_KEYS`` keys could be that large, the target rises to a
+    ``HOT_KEYS``-th of all rows, so the broadcast list of hot keys stays short.
     ``rows`` must carry ``row_idx``.
     """
     total = keys.agg(F.sum(count)).scalar()
-    portions = F.ceil(F.col(count) * HOT_PARTS / total)
-    hot = (F.col(count) > hot_rows) & (F.col(count) * HOT_PARTS > total)
+    target = F.greatest(F.lit(hot_rows).cast("double"), total / HOT_KEYS)
+    portions = F.ceil(F.col(count) / target)
+    hot = F.col(count) > target
     salted = keys.withColumn("_salts", F.when(hot, portions).otherwise(F.lit(1)).cast("int"))
 
     spread = salted.filter("_salts > 1").select(key, "_salts")

@@ -22,13 +22,14 @@ from joeira.operators.profile import shape, table_profile
 from joeira.operators.sequences import gap_ranges, missing_numbers, missing_preview, sequences, unusual_years
 from joeira.operators.tracking import change_status, fingerprint, latest_revision
 from joeira.operators.validation import validate
-from joeira.plans.encounters import encounters
+from joeira.plans.encounters import COLUMNS, encounters
 from joeira.plans.patients import PatientJob, first_record
 from joeira.plans.quality import QualityResult
 from joeira.sinks.documents import latest_per_id, to_json_text
 from joeira.sources.catalog import get_table, list_tables, table_exists, table_stats
 from joeira.sources.landing import list_sheets
 from joeira.sources.rownum import with_parquet_row_idx
+from joeira.sources.text import CORRUPT, from_csv_lines, to_csv_line
 
 AS_OF = dt.date(2000, 6, 30)
 ID_AS_OF = dt.date(2025, 6, 30)
@@ -91,7 +92,7 @@ def listed(*names: str, columns: tuple[str, ...]) -> Query:
     return run
 
 
-# -- filters ---------------------------------------------------------------
+# Filters.
 
 
 def year_filter_single(spark, sf_dir):
@@ -117,7 +118,7 @@ def patients_over_50(spark, sf_dir):
     return q.rows.filter(F.col("q_age") > 50).select("row_idx", "ID", F.col("q_age").alias("age"))
 
 
-# -- ids -------------------------------------------------------------------
+# Ids.
 
 
 def id_pattern_examples(spark, sf_dir):
@@ -190,7 +191,7 @@ def missing_lines(spark, sf_dir):
     return missing_numbers(line_gaps(spark, sf_dir), "l_orderkey")
 
 
-# -- dates, stays, ages ----------------------------------------------------
+# Dates, stays, ages.
 
 
 def parsed_dates(spark, sf_dir):
@@ -237,7 +238,7 @@ def q_age_histogram(spark, sf_dir):
     return age_histogram(age_counts(spark, sf_dir))
 
 
-# -- values ----------------------------------------------------------------
+# Values.
 
 
 def missing_values(spark, sf_dir):
@@ -269,7 +270,7 @@ def distinct_ids(spark, sf_dir):
     return distinct_values(encounters(spark, sf_dir, ("row_idx", "ID")), "ID")
 
 
-# -- whole run -------------------------------------------------------------
+# Whole run.
 
 
 def all_issues(spark, sf_dir):
@@ -298,7 +299,7 @@ def report_filtered(spark, sf_dir):
     return q.report("orders", dt.datetime(2000, 6, 30))
 
 
-# -- projections -----------------------------------------------------------
+# Projections.
 
 
 def pad_ids(spark, sf_dir):
@@ -346,7 +347,40 @@ def row_numbers(spark, sf_dir):
     return with_parquet_row_idx(table(spark, sf_dir, "events")).select("row_idx", "event_id")
 
 
-# -- validation ------------------------------------------------------------
+# Lines of text.
+
+CELLS = list(COLUMNS[1:])
+
+
+def csv_lines(spark, sf_dir):
+    """The admissions as lines of a CSV; some are cut short, some have a cell too many."""
+    k = F.col("row_idx")
+    whole, short, least = (to_csv_line(c) for c in (CELLS, CELLS[:7], CELLS[:2]))
+    line = F.when(k % 43 == 0, least).when(k % 13 == 0, short).when(k % 17 == 0, F.concat(whole, F.lit(",more"))).otherwise(whole)
+    return encounters(spark, sf_dir).select("row_idx", line.alias("line"))
+
+
+def csv_cells(spark, sf_dir):
+    """The lines parsed: blank cells are null, lines of a wrong length are marked."""
+    parsed = from_csv_lines(csv_lines(spark, sf_dir), "line", CELLS)
+    return parsed.withColumn("wrong_length", F.col(CORRUPT).isNotNull()).drop(CORRUPT)
+
+
+def csv_validated(spark, sf_dir):
+    """The lines validated: a blank cell is an empty text, a cell that is not there is missing."""
+    job = PatientJob(validate(from_csv_lines(csv_lines(spark, sf_dir), "line", CELLS)))
+    return _flat(job.validated).select("row_idx", "ID", "nome", "processo", "destino", "reasons")
+
+
+def json_lines(spark, sf_dir):
+    """The admissions as JSON records, as the JSON sink writes them, and read back."""
+    record = F.to_json(F.struct(*CELLS), {"ignoreNullFields": "false"})
+    schema = ", ".join(f"{c} string" for c in CELLS)
+    rows = encounters(spark, sf_dir).select("row_idx", record.alias("json"))
+    return rows.select("row_idx", F.length("json").alias("json_chars"), F.from_json("json", schema).alias("r")).select("row_idx", "json_chars", "r.*")
+
+
+# Validation.
 
 
 def _flat(df: DataFrame) -> DataFrame:
@@ -392,7 +426,7 @@ def preview_record(spark, sf_dir):
     return first_record(patients(spark, sf_dir, "99").validated, pretty=True).select("row_idx", "ID", "json")
 
 
-# -- tables, tracking ------------------------------------------------------
+# Tables, tracking.
 
 
 def q_table_profile(spark, sf_dir):
@@ -569,6 +603,10 @@ QUERIES: dict[str, Query] = {
     "safe_names": safe_names,
     "na_values": na_values,
     "row_numbers": row_numbers,
+    "csv_lines": csv_lines,
+    "csv_cells": csv_cells,
+    "csv_validated": csv_validated,
+    "json_lines": json_lines,
     "validated_patients": validated_patients,
     "rejected_patients": rejected_patients,
     "rejected_patients_filtered": rejected_patients_filtered,

@@ -21,7 +21,7 @@ from joeira.operators.filters import filter_by_year, filter_summary
 from joeira.operators.sequences import (
     gap_ranges, id_serials, id_serials_of, missing_numbers, sequences, unusual_years, year_prefixes,
 )
-from joeira.session import written
+from joeira.session import drop, written
 from joeira.sources.text import read_quality_csv
 
 CATEGORIES = ("sexo", "destino", "origem")
@@ -50,6 +50,7 @@ class QualityResult:
     as_of: dt.date
     year_filter: str | None = None
     profile: DataFrame | None = None
+    copy: str | None = None
 
     @cached_property
     def rows(self) -> DataFrame:
@@ -182,6 +183,12 @@ class QualityResult:
         """0, or 1 when the year filter leaves no rows."""
         return 0 if self.filter_info.first().filtered_records else 1
 
+    def close(self) -> None:
+        """Delete the copy of the rows that ``reuse`` wrote."""
+        if self.copy:
+            drop(self.source.sparkSession, self.copy)
+            self.copy = None
+
     def report(self, file_name: str = "", written_at: dt.datetime | None = None) -> DataFrame:
         from joeira.plans.report import report_lines
 
@@ -199,11 +206,13 @@ def run_quality(
 
     ``reuse`` writes the filtered rows with their helper columns to the
     session's shared folder first, so that the passes read columns instead of
-    parsing text again; worth it for CSV sources.
+    parsing text again; worth it for CSV sources.  It fails without such a
+    folder; ``close`` deletes the copy.
     """
     result = QualityResult(source, as_of_date(as_of), year_filter, profile)
     if reuse:
-        result.rows = written(result.rows, f"quality_rows_{uuid.uuid4().hex}")
+        result.copy = f"quality_rows_{uuid.uuid4().hex}"
+        result.rows = written(result.rows, result.copy)
     return result
 
 

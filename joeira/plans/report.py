@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from joeira.functions.values import percent, share
 from joeira.operators.filters import filter_label
 
+# Fixed texts of the report: these titles, and the labels and headings in the line functions below, are what its readers
+# look for and have to stay as they are.
 TITLES = {
     "file": "File Analysis",
     "ID": "ID Analysis",

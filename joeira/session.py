@@ -50,16 +50,25 @@ def shared_dir(spark: SparkSession) -> str | None:
     return named or spark.sparkContext.getCheckpointDir()
 
 
+def _shared_path(spark: SparkSession, name: str) -> str:
+    base = shared_dir(spark)
+    if base is None:
+        raise ValueError("no shared folder: set spark.checkpoint.dir to one that every executor can read and write")
+    return f"{base.rstrip('/')}/{name}"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     Cuts the lineage with files that outlive any executor, and lets the later
-    passes read only the columns they need.  Without a shared folder ``df``
-    is returned unchanged: the passes then read the source again.
+    passes read only the columns they need.
     """
-    base = shared_dir(df.sparkSession)
-    if base is None:
-        return df
-    path = f"{base.rstrip('/')}/{name}"
+    path = _shared_path(df.sparkSession, name)
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop(spark: SparkSession, name: str) -> None:
+    """Delete what ``written`` wrote under this name."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_shared_path(spark, name))
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)

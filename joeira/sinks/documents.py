@@ -36,12 +36,17 @@ def latest_per_id(patients: DataFrame) -> DataFrame:
     return patients.withColumn("_n", F.row_number().over(newest)).filter("_n = 1").drop("_n")
 
 
-def write_documents(patients: DataFrame, out_dir: str, by_year: bool = False) -> str:
-    """Write the latest row per ID as ASCII JSON lines."""
+def write_documents(patients: DataFrame, out_dir: str, by_year: bool = False, files_per_year: int = 16) -> str:
+    """Write the latest row per ID as ASCII JSON lines.
+
+    By year, the rows are dealt out by year and a part of the ID first, so a
+    year has at most ``files_per_year`` files however many tasks there are.
+    """
     latest = latest_per_id(patients)
     docs = latest.select(*document_columns())
     if by_year:
         docs = docs.withColumn("year", year_prefix(F.col("_id")))
+        docs = docs.repartition("year", F.pmod(F.xxhash64("_id"), F.lit(files_per_year)))
     writer = (
         docs.write.mode("overwrite")
         .option("ignoreNullFields", "false")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 
 
 def report_name(written_at: dt.datetime) -> str:
+    # Fixed value: the form of the name.
     return f"report_quality_gsheet_{written_at:%Y%m%d_%H%M}.md"
 
 

@@ -6,7 +6,7 @@ zeros stay and one blank cell never changes how its neighbours look.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from joeira.functions.missing import NA_TOKENS, na_to_null
 from joeira.sources.rownum import with_row_idx
@@ -69,3 +69,15 @@ def file_lines(df: DataFrame) -> DataFrame:
         F.col("_metadata.file_path").alias("file_path"),
         F.col("_metadata.file_size").alias("file_size"),
     ).agg(F.count("*").alias("row_count"))
+
+
+def to_csv_line(names: list[str]) -> Column:
+    """The columns as one line of a CSV, as the CSV sink writes it."""
+    return F.to_csv(F.struct(*names), {"escape": '"'})
+
+
+def from_csv_lines(df: DataFrame, line: str, names: list[str], keep: tuple[str, ...] = ("row_idx",)) -> DataFrame:
+    """Parse lines held in a column, as ``read_patient_csv`` parses those of a file: wrong lengths are marked."""
+    schema = ", ".join([*[f"`{n}` string" for n in names], f"{CORRUPT} string"])
+    options = {"escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+    return df.select(*keep, F.from_csv(F.col(line), F.lit(schema), options).alias("_r")).select(*keep, "_r.*")
