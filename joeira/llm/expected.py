@@ -100,7 +100,44 @@ told AS (
 SELECT *, row_number() OVER (ORDER BY slot, source_index) - 1 AS position FROM told"""
 
 
+_EMBEDDINGS = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE label IS NOT NULL AND vec_id IS NOT NULL AND len([x for x in embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+    AND len([x for x in embedding IF x <> 0]) > 0),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+reach(a, b) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
+SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(low, vec_id) AS component_id, vec_id = coalesce(low, vec_id) AS kept
+FROM embeddings LEFT JOIN (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a) USING (vec_id)
+LEFT JOIN (SELECT a AS vec_id, min(b) AS low FROM reach GROUP BY a) USING (vec_id)"""
+
+# Bytes are looked at as pairs of hexadecimal digits.
+_REPEATS = """
+WITH docs AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, length(hex(encode(coalesce(text, '')))) // 2 AS n FROM documents),
+blocks AS (
+  SELECT doc_id, o, substr(h, 2 * o + 1, 2098) AS part, least(1000, n - 49 - o) AS k
+  FROM (SELECT doc_id, h, n, unnest(range(0, n - 49, 1000)) AS o FROM docs WHERE n >= 50)),
+windows AS (SELECT doc_id, o + i AS p, substr(part, 2 * i + 1, 100) AS s FROM (SELECT doc_id, o, part, unnest(range(k)) AS i FROM blocks)),
+least AS (SELECT s, min(doc_id) AS low FROM windows GROUP BY s HAVING min(doc_id) < max(doc_id)),
+hits AS (SELECT doc_id, p FROM windows JOIN least USING (s) WHERE doc_id > low),
+steps AS (SELECT doc_id, p, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 50 THEN 0 ELSE 1 END AS new FROM hits),
+spans AS (
+  SELECT doc_id, min(p) AS a, max(p) + 50 AS b FROM (SELECT doc_id, p, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS r FROM steps) GROUP BY doc_id, r),
+parts AS (
+  SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS f, a AS t FROM spans
+  UNION ALL SELECT doc_id, max(b), n FROM spans JOIN docs USING (doc_id) GROUP BY doc_id, n),
+kept AS (SELECT doc_id, string_agg(substr(h, 2 * f + 1, 2 * (t - f)), '' ORDER BY f) AS k FROM parts JOIN docs USING (doc_id) GROUP BY doc_id),
+counts AS (SELECT doc_id, CAST(sum(b - a) AS BIGINT) AS n_removed, count(*) AS n_spans FROM spans GROUP BY doc_id)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(coalesce(k, h))) AS kept_sha256
+FROM docs LEFT JOIN kept USING (doc_id) LEFT JOIN counts USING (doc_id)"""
+
+
 EXPECTED_SQL: dict[str, str] = {
+    "op3_embeddings": _EMBEDDINGS,
+    "op7_repeats": _REPEATS,
     "op4_url_filter": _url_filter(),
     "op8_licenses": _licenses(),
     "op10_mixing": _mixing(),
