@@ -36,8 +36,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 BLANK = "▁"
-KEPT_CHARACTERS = 16_000_000  # of words whose pieces a worker remembers
-CHUNK = 1 << 21  # characters encoded at a time
+KEPT_CHARACTERS = 8_000_000  # of words whose pieces a worker remembers
+CHUNK = 1 << 20  # characters encoded at a time
 CELLS = 1 << 18  # characters of equal-length words that advance together
 BASE = np.uint64(0x9E3779B97F4A7C15)
 NEVER = np.int64(1) << 60

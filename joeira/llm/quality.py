@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 PASSAGE = 512
 MAX_DOCS = 4096
 MAX_PASSAGES = 64
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 HIDDEN, GATE = 24, 12
 STEPS, RATE, DECAY = 300, 0.02, 1e-4
 
