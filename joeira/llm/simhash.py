@@ -146,8 +146,9 @@ def close_links(distinct: DataFrame, radius: int, scratch: Scratch, lanes: int =
 
     tiled = distinct.select("node", "fp", "more", F.array(*[F.expr(ones(k)).cast("int") for k in range(parts)]).alias("tile"))
     sizes = tiled.groupBy("tile").agg(F.ceil(F.count("*") / block).cast("int").alias("cuts"))
-    # Cuts of a tile hold about ``block`` fingerprints each, by a hash that has nothing to do with the tile.
-    cut = tiled.join(sizes, "tile").withColumn("cut", F.pmod(F.xxhash64("node", F.lit(7)), F.col("cuts")).cast("int"))
+    # Cuts of a tile hold about ``block`` fingerprints each, by a hash that has nothing to do with the tile.  With up to four
+    # parts there are at most 17 ** 4 tiles, so their sizes may be broadcast; a shuffle by tile would gather the large ones.
+    cut = tiled.join(F.broadcast(sizes) if parts <= 4 else sizes, "tile").withColumn("cut", F.pmod(F.xxhash64("node", F.lit(7)), F.col("cuts")).cast("int"))
     each = F.concat(F.array("node", "fp"), F.col("more"))
     blocks = scratch.save(cut.groupBy("tile", "cut").agg(F.flatten(F.collect_list(each)).alias("rows")))
 
