@@ -134,8 +134,30 @@ SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed
   sha256(unhex(coalesce(k, h))) AS kept_sha256
 FROM docs LEFT JOIN kept USING (doc_id) LEFT JOIN counts USING (doc_id)"""
 
+_COLLOCATIONS = f"""
+WITH texts AS (SELECT coalesce(lang, 'und') AS lang, regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[.,;:!?\\x0A-\\x0D]') AS pieces FROM documents),
+words AS (SELECT lang, regexp_extract_all(piece, '[^ \\x09]+') AS w FROM (SELECT lang, unnest(pieces) AS piece FROM texts)),
+starts AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM words),
+f AS (
+  SELECT lang, p, count(*) AS f FROM (SELECT lang, w[i:i + m] AS p FROM starts, (VALUES (0), (1), (2), (3)) AS sizes(m) WHERE i + m <= len(w)) GROUP BY lang, p),
+n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE len(p) = 1 GROUP BY lang),
+candidates AS (SELECT lang, p, f AS a FROM f WHERE len(p) > 1 AND f >= 30),
+cuts AS (SELECT lang, p, a, unnest(range(1, len(p))) AS k FROM candidates),
+rated AS (
+  SELECT c.lang, c.p, c.a, k, x.f AS l, y.f AS r, CAST(CAST(2000000 AS HUGEINT) * c.a // (x.f + y.f) AS BIGINT) AS score
+  FROM cuts c JOIN f x ON x.lang = c.lang AND x.p = c.p[1:k] JOIN f y ON y.lang = c.lang AND y.p = c.p[k + 1:len(c.p)]),
+lowest AS (SELECT * FROM rated QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1),
+inner_parts AS (
+  SELECT lang, p, a, m, unnest(range(1, len(p) - m + 2)) AS i FROM (SELECT lang, p, a, unnest(range(2, len(p))) AS m FROM candidates WHERE len(p) > 2)),
+covered AS (SELECT lang, p[i:i + m - 1] AS p, max(a) AS longer FROM inner_parts GROUP BY 1, 2),
+free AS (
+  SELECT l.lang, array_to_string(l.p, ' ') AS phrase, a, l.l, l.r, score FROM lowest l LEFT JOIN covered c ON c.lang = l.lang AND c.p = l.p
+  WHERE longer IS NULL OR CAST(100 AS HUGEINT) * longer < CAST(80 AS HUGEINT) * a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM free)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN n USING (lang) WHERE rank <= 2000"""
 
 EXPECTED_SQL: dict[str, str] = {
+    "op12_collocations": _COLLOCATIONS,
     "op3_embeddings": _EMBEDDINGS,
     "op7_repeats": _REPEATS,
     "op4_url_filter": _url_filter(),

@@ -94,6 +94,12 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_order(table(spark, sf_dir, "documents"), MIX_WEIGHTS, MIX_DEFAULT, block_rows=MIX_BLOCK)
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from joeira.llm.collocations import collocations
+
+    return collocations(table(spark, sf_dir, "documents"), min_count=30, max_words=4, covered=80, top=2000)
+
+
 QUERIES: dict[str, Query] = {
     "op1_simhash": op1_simhash,
     "op2_pieces": op2_pieces,
@@ -105,4 +111,5 @@ QUERIES: dict[str, Query] = {
     "op8_licenses": op8_licenses,
     "op9_token_counts": op9_token_counts,
     "op10_mixing": op10_mixing,
+    "op12_collocations": op12_collocations,
 }
