@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -22,10 +23,12 @@ def ascii_lower(c: Column) -> Column:
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only where none is named (tests, one machine) a temporary one is set.
+    Only where none is named and all runs in one process (tests) a temporary one is set.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("no shared folder: set spark.checkpoint.dir to one that every executor can read and write")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="joeira-"))
         named = spark.sparkContext.getCheckpointDir()
     return named.rstrip("/")
@@ -61,5 +64,16 @@ class Scratch:
         where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def unused(taken: list[str], *names: str) -> list[str]:
+    """``names``, each with as many underscores before it as it takes to differ from all that are taken."""
+    seen, out = {t.lower() for t in taken}, []
+    for name in names:
+        while name.lower() in seen:
+            name = f"_{name}"
+        seen.add(name.lower())
+        out.append(name)
+    return out
+
+
 def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -94,6 +94,13 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_order(table(spark, sf_dir, "documents"), MIX_WEIGHTS, MIX_DEFAULT, block_rows=MIX_BLOCK)
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from joeira.llm.packing import cut, pack
+
+    pieces = cut(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), limit=1024, end=2)
+    return pack(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), limit=1024)
+
+
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     from joeira.llm.collocations import collocations
 
@@ -111,5 +118,6 @@ QUERIES: dict[str, Query] = {
     "op8_licenses": op8_licenses,
     "op9_token_counts": op9_token_counts,
     "op10_mixing": op10_mixing,
+    "op11_packing": op11_packing,
     "op12_collocations": op12_collocations,
 }
