@@ -156,7 +156,33 @@ free AS (
 ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM free)
 SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN n USING (lang) WHERE rank <= 2000"""
 
+
+def _vector_codes() -> str:
+    near = "list_sum([(z[1] - z[2]) * (z[1] - z[2]) FOR z IN list_zip(p, c)])"
+    steps = []
+    for k in range(5):
+        steps.append(f"near{k} AS MATERIALIZED (SELECT k, pos, min(CAST({near} AS BIGINT) * 256 + e) AS d FROM parts JOIN book{k} USING (pos) GROUP BY k, pos)")
+        if k < 4:
+            steps.append(f"""sums{k} AS (
+  SELECT pos, d % 256 AS e, i, sum(p[i]) AS s, count(*) AS n FROM (SELECT pos, d, p, unnest(range(1, len(p) + 1)) AS i FROM near{k} JOIN parts USING (k, pos)) GROUP BY pos, e, i),
+means{k} AS (SELECT pos, e, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS c FROM sums{k} GROUP BY pos, e),
+book{k + 1} AS MATERIALIZED (SELECT pos, e, coalesce(m.c, b.c) AS c FROM book{k} b LEFT JOIN means{k} m USING (pos, e))""")
+    return f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id) AS k, vec_id, label, [CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+parts AS MATERIALIZED (SELECT k, pos, v[pos * (len(v) // 4) + 1:(pos + 1) * (len(v) // 4)] AS p FROM kept, (VALUES (0), (1), (2), (3)) AS positions(pos)),
+book0 AS (SELECT pos, k - 1 AS e, p AS c FROM parts WHERE k <= 256),
+{", ".join(steps)},
+coded AS (
+  SELECT k, string_agg(lpad(to_hex(d % 256), 2, '0'), '' ORDER BY pos) AS code, CAST(sum(d // 256) AS BIGINT) AS error FROM near4 GROUP BY k)
+SELECT vec_id, lower(code) AS code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+  (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY pos, e)) FROM book4) AS codebooks_sha256
+FROM kept JOIN coded USING (k)"""
+
+
 EXPECTED_SQL: dict[str, str] = {
+    "op13_vector_codes": _vector_codes(),
     "op12_collocations": _COLLOCATIONS,
     "op3_embeddings": _EMBEDDINGS,
     "op7_repeats": _REPEATS,

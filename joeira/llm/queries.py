@@ -107,6 +107,12 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(table(spark, sf_dir, "documents"), min_count=30, max_words=4, covered=80, top=2000)
 
 
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from joeira.llm.vector_codes import code_table
+
+    return code_table(table(spark, sf_dir, "embeddings"), parts=4, entries=256, rounds=4, scale=1024)
+
+
 QUERIES: dict[str, Query] = {
     "op1_simhash": op1_simhash,
     "op2_pieces": op2_pieces,
@@ -120,4 +126,5 @@ QUERIES: dict[str, Query] = {
     "op10_mixing": op10_mixing,
     "op11_packing": op11_packing,
     "op12_collocations": op12_collocations,
+    "op13_vector_codes": op13_vector_codes,
 }
