@@ -32,7 +32,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from joeira.llm.common import Scratch
+from joeira.llm.common import Scratch, unused
 from joeira.llm.components import connected
 from joeira.llm.licenses import mixed
 
@@ -196,11 +196,12 @@ def near_duplicates(
     )
 
 
-def keep_one(docs: DataFrame, radius: int, size: int, lanes: int, in_all: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, radius: int = 2, size: int = 3, id_col: str = "doc_id", text_col: str = "text", lanes: int = 1, in_all: int | None = None) -> DataFrame:
     """The rows of ``docs`` less all but one of each group: the one with the smallest identifier stays."""
-    rows = docs.withColumn("_uid", F.monotonically_increasing_id())
+    uid, row = unused(docs.columns, "uid", "row")
+    rows = docs.withColumn(uid, F.monotonically_increasing_id())
     # Rows are told apart by a struct that orders them by identifier first, so one of several with the same one stays.
-    marked = rows.select(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), "_uid").alias("row"), text_col)
-    groups = near_duplicates(marked, radius, size, "row", text_col, lanes, in_all)
-    stays = groups.where("row = component_id").select(F.col("row._uid").alias("_uid"))
-    return rows.join(stays, "_uid", "left_semi").drop("_uid")
+    marked = rows.select(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col(uid).alias("uid")).alias(row), text_col)
+    groups = near_duplicates(marked, radius, size, row, text_col, lanes, in_all)
+    stays = groups.where(F.col(row) == F.col("component_id")).select(F.col(row)["uid"].alias(uid))
+    return rows.join(stays, uid, "left_semi").drop(uid)
