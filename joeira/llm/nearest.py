@@ -22,7 +22,7 @@ Cases: vectors that are null, empty or zero, or hold null or non-finite
 components, and null identifiers take no part; vectors of different lengths are
 never compared; equal vectors are indexed once with their smallest ``k + 1``
 identifiers, which is all a result can hold of them; a repeated identifier with
-the same vector is one query; fewer candidates than ``k`` give fewer rows; other
+the same vector counts once, as a query and as a candidate; fewer candidates than ``k`` give fewer rows; other
 columns are left out, whatever their names; an empty table gives an empty result.
 """
 
@@ -158,7 +158,7 @@ def search(
 ) -> DataFrame:
     """``query_id, rank, id, score``: for every query row (``is_query`` of the identifier) the nearest other rows found."""
     scratch = Scratch(vectors.sparkSession, "nearest")
-    rows = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("vector")).where(usable("vector") & F.col("id").isNotNull())
+    rows = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("vector")).where(usable("vector") & F.col("id").isNotNull()).distinct()
     # The smallest k + 1 identifiers of each vector; ranks are cut in each task before the shuffle.
     ranked = rows.withColumn("r", F.row_number().over(Window.partitionBy("vector").orderBy("id"))).where(f"r <= {k + 1}")
     classes = scratch.save(

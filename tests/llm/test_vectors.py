@@ -112,3 +112,10 @@ def test_recall(spark):
         far[q] = np.inf
         hits += len(got[q] & set(np.argsort(far)[:10].tolist()))
     assert hits / 300 >= 0.9
+
+
+def test_repeated_rows_hide_no_neighbour(spark):
+    v, far = [1.0, 2.0, 3.0, 4.0], [[4.0 + k, 3.0, 2.0, 1.0] for k in range(10)]
+    rows = [(100, v, 1)] * 12 + [(k, v, 1) for k in range(101, 106)] + [(150 + k, x, 1) for k, x in enumerate(far)]
+    out = nearest.search(frame(spark, rows), lambda i: i == 100, k=10).collect()
+    assert [r.vec_id for r in sorted(out, key=lambda r: r["rank"])] == [101, 102, 103, 104, 105, 150, 151, 152, 153, 154]
