@@ -14,13 +14,14 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from joeira.llm.common import Scratch, table
 from joeira.llm.mixing import mix
-from joeira.llm.near_copies import keep_one_similar
 from joeira.llm.pieces import encode
 from joeira.llm.quality import score, train
 from joeira.llm.queries import MIX_BLOCK, MIX_DEFAULT, MIX_WEIGHTS, tokenizer_path
 from joeira.llm.repeats import remove_repeats
+from joeira.llm.simhash import keep_one
 
-SHINGLE = 5  # words
+SHINGLE = 3  # words
+RADIUS = 2  # bits
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,8 +31,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest identifier of each group that pairs of a Jaccard similarity of at least 0.8 link."""
-    return keep_one_similar(docs, SHINGLE)
+    """Keep the document with the smallest identifier of each group that fingerprints at most ``RADIUS`` bits apart link."""
+    return keep_one(docs, RADIUS, SHINGLE)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
