@@ -47,6 +47,7 @@ class PatientJob:
         return json.dumps(json.loads(row["json"]), indent=2)
 
     def write(self, out_dir: str, by_year: bool = False) -> str:
+        """Put the documents into those in ``out_dir``; the ones of other IDs stay."""
         return write_documents(self.patients, out_dir, by_year)
 
 

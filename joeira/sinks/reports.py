@@ -6,6 +6,8 @@ import datetime as dt
 
 from pyspark.sql import DataFrame
 
+from joeira.sinks.files import replace
+
 
 def report_name(written_at: dt.datetime) -> str:
     # Fixed value: the form of the name.
@@ -19,5 +21,5 @@ def write_report(lines: DataFrame, out_dir: str, written_at: dt.datetime | None
     one part file, since small sorted partitions are merged at run time.
     """
     path = f"{out_dir.rstrip('/')}/{report_name(written_at or dt.datetime.now())}"
-    lines.orderBy("section", "part", "rank", "text").select("text").write.mode("overwrite").text(path)
-    return path
+    ordered = lines.orderBy("section", "part", "rank", "text").select("text")
+    return replace(lines.sparkSession, path, lambda staged: ordered.write.text(staged))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from joeira.functions.ids import pad_id
+from joeira.sinks.files import replace
 from joeira.sources.landing import FORMATS
 
 
@@ -28,14 +29,15 @@ def padded(df: DataFrame) -> DataFrame:
 
 
 def write_table(df: DataFrame, out_dir: str, sheet_name: str, fmt: str = "csv") -> str:
-    """Write the rows under the sheet's file-safe name; returns the path."""
+    """Write the rows under the sheet's file-safe name; returns the path.
+
+    A table of that name stays until the new one is whole, also if the write fails.
+    """
     fmt = check_format(fmt)
     path = f"{out_dir.rstrip('/')}/{safe_name(sheet_name)}.{fmt}"
-    writer = df.write.mode("overwrite")
+    writer = df.write
     if fmt == "csv":
-        writer.option("header", "true").option("escape", '"').csv(path)
+        writer = writer.option("header", "true").option("escape", '"')
     elif fmt == "json":
-        writer.option("ignoreNullFields", "false").json(path)
-    else:
-        writer.parquet(path)
-    return path
+        writer = writer.option("ignoreNullFields", "false")
+    return replace(df.sparkSession, path, lambda staged: writer.format(fmt).save(staged))

@@ -3,6 +3,7 @@
 import pytest
 
 from joeira.jobs import documents, quality
+from joeira.sinks.documents import read_documents
 
 CSV = """ID,processo,nome,data_ent,data_alta,destino,sexo,data_nasc,origem
 2501,1,Ana,1-1-2025,5-1-2025,Home,M,1-1-1980,ER
@@ -35,6 +36,13 @@ def test_documents_job(spark, csv):
     assert documents.main(["-f", path, "-y", "19", "-o", out]) == 1
 
 
+def test_documents_of_one_year_after_the_other(spark, csv):
+    path, out = csv
+    for year in ("24", "25", "24"):
+        assert documents.main(["-f", path, "-y", year, "-o", out]) == 0
+    assert sorted(r._id for r in read_documents(spark, out).collect()) == ["2402", "2501"]
+
+
 def test_reuse_needs_a_shared_folder(spark, csv, monkeypatch):
     from joeira import session
     from joeira.plans.quality import run_quality_csv
