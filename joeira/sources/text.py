@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from joeira.functions.missing import NA_TOKENS, na_to_null
+from joeira.sources.quoted import records
 from joeira.sources.rownum import with_row_idx
 
 CORRUPT = "_corrupt_record"
@@ -22,10 +23,17 @@ def header_names(spark: SparkSession, path: str, **options: str) -> list[str]:
     return spark.read.options(**{**_CSV, **options}).csv(path).columns
 
 
-def _scan(spark: SparkSession, path: str, mark_corrupt: bool, multiline: bool) -> DataFrame:
+def _quoted(spark: SparkSession, path: str, mark_corrupt: bool) -> DataFrame:
+    """Numbered rows of files with line breaks inside quotes, however large each of them is."""
+    names = header_names(spark, path, multiLine="true")
+    parsed = from_csv_lines(records(spark, path), "record", names)
+    return parsed if mark_corrupt else parsed.drop(CORRUPT)
+
+
+def _scan(spark: SparkSession, path: str, mark_corrupt: bool) -> DataFrame:
     names = header_names(spark, path)
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    options = {**_CSV, "multiLine": str(multiline).lower(), "enforceSchema": "false"}
+    options = {**_CSV, "enforceSchema": "false"}
     if mark_corrupt:
         # Lines are only compared with the full column list when none is pruned.
         schema = schema.add(CORRUPT, T.StringType())
@@ -40,10 +48,16 @@ def read_quality_csv(
     multiline: bool = False,
     numbered: bool = True,
 ) -> DataFrame:
-    """Scan for the quality checks: NA tokens become null, rows numbered."""
-    df = _scan(spark, path, mark_corrupt=False, multiline=multiline)
-    if numbered:
-        df = with_row_idx(df)
+    """Scan for the quality checks: NA tokens become null, rows numbered.
+
+    ``multiline`` is for quoted cells that hold line breaks; such files are read in pieces too, at the price of a pass over their quotes.
+    """
+    if multiline:
+        df = _quoted(spark, path, mark_corrupt=False)
+        df = df if numbered else df.drop("row_idx")
+    else:
+        df = _scan(spark, path, mark_corrupt=False)
+        df = with_row_idx(df) if numbered else df
     return na_to_null(df, na_tokens)
 
 
@@ -51,7 +65,10 @@ def read_patient_csv(
     spark: SparkSession, path: str, multiline: bool = False, numbered: bool = True
 ) -> DataFrame:
     """Scan for validation: no NA tokens, lines of a wrong length marked."""
-    df = _scan(spark, path, mark_corrupt=True, multiline=multiline)
+    if multiline:
+        df = _quoted(spark, path, mark_corrupt=True)
+        return df if numbered else df.drop("row_idx")
+    df = _scan(spark, path, mark_corrupt=True)
     return with_row_idx(df) if numbered else df
 
 
