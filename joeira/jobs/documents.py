@@ -21,10 +21,11 @@ def main(argv: list[str] | None = None) -> int:
     args.add_argument("--year", "-y", help="year filter, such as 25 or 20-25")
     args.add_argument("--out", "-o", required=True, help="folder for the documents")
     args.add_argument("--by-year", action="store_true", help="a folder for each year")
+    args.add_argument("--multiline", action="store_true", help="quoted cells may hold line breaks")
     given = args.parse_args(argv)
     spark = tuned(SparkSession.builder.appName("joeira documents").getOrCreate())
     try:
-        job = csv_to_documents(spark, given.file, year_filter=given.year)
+        job = csv_to_documents(spark, given.file, year_filter=given.year, multiline=given.multiline)
         counts = job.counts.first()
         print(", ".join(f"{k} {v}" for k, v in counts.asDict().items()))
         if not counts.processed:

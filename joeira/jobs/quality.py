@@ -14,6 +14,7 @@ from pyspark.sql import SparkSession
 
 from joeira.plans.quality import run_quality_csv
 from joeira.session import tuned
+from joeira.sinks.files import replace
 from joeira.sinks.reports import write_report
 
 
@@ -24,22 +25,26 @@ def main(argv: list[str] | None = None) -> int:
     args.add_argument("--as-of", help="day that counts as today, yyyy-mm-dd")
     args.add_argument("--out", "-o", required=True, help="folder for report and findings")
     args.add_argument("--reuse", action="store_true", help="parse the text once, into the shared folder of the session")
+    args.add_argument("--multiline", action="store_true", help="quoted cells may hold line breaks")
     given = args.parse_args(argv)
     spark = tuned(SparkSession.builder.appName("joeira quality").getOrCreate())
+    run = None
     try:
-        run = run_quality_csv(spark, given.file, given.as_of, given.year, reuse=given.reuse)
+        run = run_quality_csv(spark, given.file, given.as_of, given.year, multiline=given.multiline, reuse=given.reuse)
         code = run.exit_code()
         if code:
             print(f"no rows of {given.year} in {given.file}", file=sys.stderr)
             return code
         now = dt.datetime.now()
         print(write_report(run.report(given.file, now), given.out, now))
-        run.findings.write.mode("overwrite").parquet(f"{given.out.rstrip('/')}/findings")
-        run.close()
+        replace(spark, f"{given.out.rstrip('/')}/findings", run.findings.write.parquet)
         return 0
     except Exception as problem:  # the caller sees the code, the log says why
         print(f"quality run failed: {problem}", file=sys.stderr)
         return 1
+    finally:
+        if run is not None:
+            run.close()
 
 
 if __name__ == "__main__":

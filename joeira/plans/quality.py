@@ -217,7 +217,7 @@ def run_quality(
 
 
 def run_quality_csv(
-    spark: SparkSession, path: str, as_of: dt.date | str | None = None, year_filter: str | None = None, **options
+    spark: SparkSession, path: str, as_of: dt.date | str | None = None, year_filter: str | None = None, multiline: bool = False, **options
 ) -> QualityResult:
-    profile = table_profile(read_quality_csv(spark, path, na_tokens=(), numbered=False), path)
-    return run_quality(read_quality_csv(spark, path), as_of, year_filter, profile=profile, **options)
+    profile = table_profile(read_quality_csv(spark, path, na_tokens=(), multiline=multiline, numbered=False), path)
+    return run_quality(read_quality_csv(spark, path, multiline=multiline), as_of, year_filter, profile=profile, **options)

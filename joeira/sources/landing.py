@@ -83,26 +83,57 @@ class Sheet:
     path: str
     target: str
 
+    @property
+    def key(self) -> tuple[str, str, str]:
+        return self.name, self.format, self.path.rpartition("/")[0]
 
-def named_sheets(spark: SparkSession, landing: str) -> list[Sheet]:
-    """Every sheet; those whose file-safe names are equal get a mark of their own.
 
-    The mark comes from the sheet's own name, format and folder, so it stays the
-    same from load to load.
+class Names:
+    """Which table and history every sheet has once been given: by its full name, format and folder, for good.
+
+    Kept as a small table beside the history, a row per sheet.  Loads of one landing directory do not run at the same time.
     """
-    rows = list_sheets(spark, landing).withColumn("safe", sanitise_name(F.col("sheet_name"))).collect()
-    times = Counter(r["safe"] for r in rows)
-    out = []
-    for r in rows:
-        mark = hashlib.sha256(r["path"].encode()).hexdigest()[:8]
-        target = r["safe"] if times[r["safe"]] == 1 else f"{r['safe']}-{mark}"
-        out.append(Sheet(r["sheet_name"], r["format"], r["path"], target))
-    return out
 
+    SCHEMA = "sheet_name string, format string, folder string, target string"
+
+    def __init__(self, spark: SparkSession, history: str):
+        self.spark, self.path = spark, f"{history.rstrip('/')}-names"
+        try:
+            rows = spark.read.schema(self.SCHEMA).parquet(self.path).collect()
+        except Exception as problem:
+            if "PATH_NOT_FOUND" not in str(problem):
+                raise
+            rows = []
+        self.targets = {(r.sheet_name, r.format, r.folder): r.target for r in rows}
+
+    def keep(self, sheet: Sheet) -> None:
+        """Write down the name of a sheet that is new here."""
+        if sheet.key not in self.targets:
+            self.spark.createDataFrame([(*sheet.key, sheet.target)], self.SCHEMA).coalesce(1).write.mode("append").parquet(self.path)
+            self.targets[sheet.key] = sheet.target
 
-def find_sheet(spark: SparkSession, landing: str, sheet_name: str, sheet_format: str | None = None) -> Sheet:
+
+def named_sheets(spark: SparkSession, landing: str, names: Names | None = None) -> list[Sheet]:
+    """Every sheet with its target: the one in ``names`` if it has been imported, else its file-safe name.
+
+    Where that is the target of an imported sheet, or several new sheets have it, the new ones get a mark
+    of their own from name, format and folder.  What an imported sheet is called never changes.
+    """
+    rows = list_sheets(spark, landing).withColumn("safe", sanitise_name(F.col("sheet_name"))).collect()
+    known = names.targets if names else {}
+    sheets = [(r["safe"], Sheet(r["sheet_name"], r["format"], r["path"], "")) for r in rows]
+    taken = set(known.values())
+    times = Counter(safe for safe, sheet in sheets if sheet.key not in known)
+    for safe, sheet in sheets:
+        alone = times[safe] == 1 and safe not in taken
+        mark = hashlib.sha256(sheet.path.encode()).hexdigest()[:8]
+        sheet.target = known.get(sheet.key) or (safe if alone else f"{safe}-{mark}")
+    return [sheet for _, sheet in sheets]
+
+
+def find_sheet(spark: SparkSession, landing: str, sheet_name: str, sheet_format: str | None = None, names: Names | None = None) -> Sheet:
     """The one sheet of this name; ``KeyError`` if there is none, ``ValueError`` if there are several."""
-    found = [s for s in named_sheets(spark, landing) if s.name == sheet_name and sheet_format in (None, s.format)]
+    found = [s for s in named_sheets(spark, landing, names) if s.name == sheet_name and sheet_format in (None, s.format)]
     if not found:
         raise KeyError(f"no sheet named {sheet_name!r} in {landing}")
     if len(found) > 1:
@@ -145,14 +176,16 @@ class IngestedSheet:
     error: str | None
 
 
-def ingest_all(spark: SparkSession, landing: str, save: Callable[[Sheet, DataFrame], str | None]) -> DataFrame:
+def ingest_all(
+    spark: SparkSession, landing: str, save: Callable[[Sheet, DataFrame], str | None], names: Names | None = None
+) -> DataFrame:
     """Hand every sheet to ``save`` and go on past the ones that fail.
 
     ``save`` gets the sheet and its rows, and returns where it put them.  The
     result is one status row per sheet, with the whole text of an error.
     """
     done: list[IngestedSheet] = []
-    for sheet in named_sheets(spark, landing):
+    for sheet in named_sheets(spark, landing, names):
         try:
             target = save(sheet, read_path(spark, sheet.path, sheet.format))
             done.append(IngestedSheet(sheet.name, "ok", target, None))

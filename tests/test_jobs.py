@@ -29,6 +29,21 @@ def test_quality_job(spark, csv, tmp_path):
     assert quality.main(["-f", path + ".none", "-o", out]) == 1
 
 
+def test_nothing_is_left_in_the_shared_folder(spark, csv, tmp_path, monkeypatch):
+    from joeira import session
+    from joeira.plans.quality import QualityResult
+
+    shared = tmp_path / "shared"
+    shared.mkdir()
+    monkeypatch.setattr(session, "shared_dir", lambda spark: str(shared))
+    path, out = csv
+    assert quality.main(["-f", path, "-y", "19", "-o", out, "--reuse"]) == 1
+    assert list(shared.iterdir()) == []
+    monkeypatch.setattr(QualityResult, "report", lambda *a: 1 / 0)
+    assert quality.main(["-f", path, "-o", out, "--reuse"]) == 1
+    assert list(shared.iterdir()) == []
+
+
 def test_documents_job(spark, csv):
     path, out = csv
     assert documents.main(["-f", path, "-y", "24-25", "-o", out, "--by-year"]) == 0

@@ -88,3 +88,26 @@ def test_errors_are_told_whole(spark, folders):
     (landing / "Bad.parquet").write_text("x" * 700)
     status = {r.sheet_name: r for r in import_all(spark, str(landing), out, history).collect()}
     assert status["Bad"].status == "failed" and "Bad.parquet" in status["Bad"].error and status["Ward A"].status == "ok"
+
+
+def test_a_later_sheet_of_the_same_safe_name_changes_no_history(spark, tmp_path):
+    landing, out, history = tmp_path / "land", tmp_path / "out", str(tmp_path / "history")
+    landing.mkdir()
+    (landing / "A B.csv").write_text("ID\n1001\n")
+    first = import_sheet(spark, str(landing), "A B", str(out), history)
+    (landing / "A_B.csv").write_text("ID\n2001\n2002\n")
+    assert not pending_change(spark, str(landing), "A B", history).first().first_time
+    assert pending_change(spark, str(landing), "A_B", history).first().first_time
+    for _ in range(2):
+        paths = {r.sheet_name: r.path for r in import_all(spark, str(landing), str(out), history).collect()}
+    assert paths["A B"] == first and paths["A_B"] != first
+    assert _stored(spark, paths["A B"], "csv") == ["1001"] and _stored(spark, paths["A_B"], "csv") == ["2001", "2002"]
+    assert len(list(out.iterdir())) == 2  # nothing is left over
+    entries = read_history(spark, history).collect()
+    assert {r.sheet_name: sorted({e.source_id for e in entries if e.sheet_name == r.sheet_name}) for r in entries} == {"A B": ["A_B"], "A_B": [paths["A_B"].split("/")[-1][:-4]]}
+    assert len({e.revision_id for e in entries if e.sheet_name == "A B"}) == 1
+    # A sheet that goes away keeps its name, and comes back to it.
+    (landing / "A B.csv").unlink()
+    assert import_sheet(spark, str(landing), "A_B", str(out), history) == paths["A_B"]
+    (landing / "A B.csv").write_text("ID\n1001\n")
+    assert import_sheet(spark, str(landing), "A B", str(out), history) == first
