@@ -28,11 +28,11 @@ their names; an empty table gives an empty result.
 from __future__ import annotations
 
 import re
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
 from joeira.llm.common import Scratch
@@ -43,6 +43,7 @@ LONGEST = 64  # words in a chunk without its overlap, where no trigger comes
 AT_ONCE = 4 << 20  # bytes of text
 FILTER_BITS = 1 << 28
 NO_LANGUAGE = "und"
+_POWERS = np.multiply.accumulate(np.full(1 << 16, 0x9E3779B97F4A7C15, dtype=np.uint64))
 BLANK = pa.scalar(" ", pa.large_string())
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -96,8 +97,21 @@ def _flat(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(texts), dtype=np.uint8), offsets
 
 
+def _bytes_of(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All bytes of an array of texts, and where each text begins."""
+    values = values.cast(pa.large_string() if pa.types.is_string(values.type) else values.type).cast(pa.large_binary())
+    _, offsets, data = values.buffers()
+    offsets = np.frombuffer(offsets, dtype=np.int64)[values.offset : values.offset + len(values) + 1] if len(values) else np.zeros(1, dtype=np.int64)
+    return (np.frombuffer(data, dtype=np.uint8) if data else np.zeros(0, dtype=np.uint8))[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
 def _hashes(values: pa.Array) -> np.ndarray:
-    return np.array([xxhash.xxh64_intdigest(v) for v in values.to_pylist()], dtype=np.uint64)
+    """A hash for each text, of its bytes alone.  Equal hashes of different texts do no harm: they place cuts and let phrases pass a filter."""
+    data, offsets = _bytes_of(values)
+    at = np.arange(len(data)) - np.repeat(offsets[:-1], np.diff(offsets))
+    sums = np.zeros(len(data) + 1, dtype=np.uint64)
+    np.cumsum((data + np.uint64(1)) * _POWERS[at % len(_POWERS)], out=sums[1:])
+    return mixed(sums[offsets[1:]] - sums[offsets[:-1]])
 
 
 def ranges(first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -178,21 +192,24 @@ def dictionary(docs: DataFrame, overlap: int, lang_col: str = "lang", text_col:
 class Chunks:
     """Some chunks (or phrases) in arrays over all their words."""
 
-    def __init__(self, texts: list[bytes], langs: list[str]):
-        data, offsets = _flat(texts)
+    def __init__(self, texts: pa.Array, langs: pa.Array):
+        data, offsets = _bytes_of(texts)
         words, at = words_in(data, offsets, data != ord(" "))
         coded = words.dictionary_encode()
         self.ids, self.words = coded.indices.to_numpy().astype(np.int64), coded.dictionary
         self.row = np.searchsorted(offsets, at, "right") - 1
         self.size = np.bincount(self.row, minlength=len(texts))
         self.place = np.arange(len(at)) - (np.cumsum(self.size) - self.size)[self.row]
-        coded = pa.array(langs, pa.string()).dictionary_encode()
+        coded = langs.dictionary_encode()
         self.lang, self.langs = coded.indices.to_numpy().astype(np.int64), coded.dictionary
-        self.word_hash, self.lang_hash = _hashes(self.words.cast(pa.binary())), _hashes(self.langs)
+
+    @cached_property
+    def word_hash(self) -> np.ndarray:
+        return _hashes(self.words)
 
     def hashes(self, at: np.ndarray, n: int) -> np.ndarray:
         """Of the ``n`` words from each place, and the language."""
-        out = self.lang_hash[self.lang[self.row[at]]]
+        out = _hashes(self.langs)[self.lang[self.row[at]]]
         for k in range(n):
             out = mixed(out + self.word_hash[self.ids[at + k]])
         return out
@@ -228,7 +245,7 @@ def phrase_filter(phrases: DataFrame, n: int) -> np.ndarray:
 
     def work(batches):
         for batch in batches:
-            rows = Chunks(batch.column(1).cast(pa.binary()).to_pylist(), batch.column(0).to_pylist())
+            rows = Chunks(batch.column(1), batch.column(0))
             yield pa.RecordBatch.from_arrays([pa.array(bit_places(rows.hashes(np.flatnonzero(rows.place == 0), n), bits).ravel())], names=["bit"])
 
     parts = phrases.select("lang", "phrase").mapInArrow(work, "bit bigint").groupBy(F.expr("shiftright(bit, 15)").alias("part"))
@@ -248,15 +265,15 @@ def count_phrases(chunks: DataFrame, n: int, parts_of=None) -> DataFrame:
             a, b = bit_places(rows.hashes(at, n - 1), len(passing) * 8)
             return (passing[a >> 3] >> (a & 7) & passing[b >> 3] >> (b & 7) & 1).astype(bool)
 
-        lines = (row for batch in batches for row in zip(batch.column(1).cast(pa.binary()).to_pylist(), batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()))
-        for group in _grouped(lines, lambda r: len(r[0])):
-            texts, langs, owned, freq = zip(*group)
-            rows = Chunks(list(texts), list(langs))
-            at = np.flatnonzero((rows.place < np.array(owned)[rows.row]) & (rows.place + n <= rows.size[rows.row]))
+        for group in _grouped(batches, lambda b: b.column(1).nbytes):
+            table = pa.Table.from_batches(group).combine_chunks()
+            langs, texts, owned, freq = (c.chunk(0) for c in table.columns) if table.num_rows else [pa.array([], f.type) for f in table.schema]
+            rows, freq = Chunks(texts, langs), freq.to_numpy()
+            at = np.flatnonzero((rows.place < owned.to_numpy()[rows.row]) & (rows.place + n <= rows.size[rows.row]))
             if passing is not None:
                 at = at[passes(rows, at)]
                 at = at[passes(rows, at + 1)]
-            yield rows.phrases(at, n, np.array(freq, dtype=np.int64)[rows.row[at]])
+            yield rows.phrases(at, n, freq[rows.row[at]])
 
     found = chunks.select("lang", "chunk", "owned", "n").mapInArrow(work, "lang string, phrase string, f bigint")
     return found.groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
