@@ -27,23 +27,29 @@ import os
 from bisect import bisect_left, insort
 from functools import lru_cache
 from itertools import islice
+from struct import pack as pack_ids
 
 import numpy as np
 import pyarrow as pa
 import regex
+import tiktoken
 from pyspark.sql import DataFrame, Window, functions as F
 from tokenizers import Tokenizer
 
 from joeira.llm.common import Scratch, unused
-from joeira.llm.token_counts import PATTERN
+from joeira.llm.token_counts import PATTERN, byte_symbols
 
 GROUP = 4096  # pieces of one length that are numbered together
-KEPT_WORDS = 400_000
+KEPT_WORDS = 800_000
 AT_ONCE = 1 << 20  # characters
 
 
 class WordIds(dict):
-    """Identifiers, as bytes, of the parts that a byte-level tokenizer splits a text into; the library encodes new ones."""
+    """Identifiers, as bytes, of the parts that a byte-level tokenizer splits a text into.
+
+    They are the ones that the tokenizer's own library gives.  With a byte-level vocabulary whose identifiers follow its
+    merges, a part is merged by the same ranks in less time.  Any other tokenizer file goes to the library, text by text.
+    """
 
     def __init__(self, path: str):
         super().__init__()
@@ -59,7 +65,7 @@ class WordIds(dict):
         # Only such a tokenizer treats each part by itself, whatever stands beside it.
         self.by_part = (
             before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and not model.get("normalizer")
-            and model["model"].get("type") == "BPE" and not any(x.get(k) for x in added for k in plain)
+            and model["model"].get("type") == "BPE" and not any(x.get(k) for x in added for k in plain) and self._ranked(model["model"])
         )
         self.special = {x["content"]: np.uint32(x["id"]).tobytes() for x in added}
         marks = sorted(self.special, key=len, reverse=True)
@@ -67,6 +73,19 @@ class WordIds(dict):
         self.parts = regex.compile(PATTERN)
         self.update(self.special)
 
+    def _ranked(self, model: dict) -> bool:
+        """Whether the identifiers are ranks, each above those of all earlier merges; ``merge`` is set if so."""
+        vocabulary = model["vocab"]
+        byte_of = {c: bytes([b]) for b, c in enumerate(byte_symbols())}
+        made = [vocabulary["".join(m.split(" ") if isinstance(m, str) else m)] for m in model["merges"]]
+        single = {c: vocabulary[c] for c in byte_of if c in vocabulary}
+        if len(single) < 256 or made != sorted(set(made)) or (made and made[0] <= max(single.values())):
+            return False
+        ranks = {byte_of[c]: i for c, i in single.items()}
+        ranks.update((b"".join(map(byte_of.__getitem__, t)), vocabulary[t]) for t in ("".join(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]))
+        self.merge = tiktoken.Encoding("parts", pat_str=r"(?s:.+)", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        return True
+
     def _of_text(self, text: str):
         """The parts of a text, in lists that are not too long."""
         if self.marks is not None and self.marks.search(text):
@@ -106,7 +125,7 @@ class WordIds(dict):
             self.clear()
             self.update(self.special)
         new = [p for p in set().union(*[parts for _, parts in waiting]) if p not in self]
-        self.update(zip(new, self._library(new)))
+        self.update((p, pack_ids(f"<{len(ids)}I", *ids)) for p, ids in zip(new, map(self.merge, new)))
         for k, parts in waiting:
             out[k].append(b"".join(map(self.__getitem__, parts)))
 

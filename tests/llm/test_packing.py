@@ -137,6 +137,13 @@ def test_identifiers_equal_the_library(many):
         assert word_ids(path).encode(many) == want
 
 
+def test_every_piece_of_the_vocabulary(library):
+    every = [t for t in (library.decode([k]) for k in range(50_257)) if t]
+    mixed = [a + b for a, b in zip(every, random.Random(4).sample(every, len(every)))]
+    for many in (every, mixed):
+        assert word_ids(BYTE_BPE).encode(many) == [np.array(e.ids, "<u4").tobytes() for e in library.encode_batch(many, add_special_tokens=False)]
+
+
 def test_identifiers_of_long_and_marked_texts(library, monkeypatch):
     monkeypatch.setattr(packing, "AT_ONCE", 100)
     monkeypatch.setattr(packing, "KEPT_WORDS", 30)
