@@ -36,8 +36,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 BLANK = "▁"
-KEPT_CHARACTERS = 8_000_000  # of words whose pieces a worker remembers
-CHUNK = 1 << 20  # characters encoded at a time
+KEPT_CHARACTERS = 16_000_000  # of words whose pieces a worker remembers
+CHUNK = 1 << 21  # characters encoded at a time
 CELLS = 1 << 18  # characters of equal-length words that advance together
 BASE = np.uint64(0x9E3779B97F4A7C15)
 NEVER = np.int64(1) << 60
@@ -291,9 +291,9 @@ class Model:
             text = text.replace(" ", BLANK)
         return self.cut.findall(BLANK + text if self.prefix else text)
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
+    def encode(self, texts: list[str], remember: int = KEPT_CHARACTERS) -> list[np.ndarray]:
         cut = [self.split(t) for t in texts]
-        if self.kept > KEPT_CHARACTERS:
+        if self.kept > remember:
             self.words.clear()
             self.kept = 0
         new = {w for words in cut for w in words if w not in self.words}
@@ -326,13 +326,13 @@ def model(path: str) -> Model:
     return Model(path)
 
 
-def _pieces(texts: pa.Array):
-    """Lists of texts of about ``CHUNK`` characters."""
+def _pieces(texts: pa.Array, chunk: int):
+    """Lists of texts of about ``chunk`` characters."""
     part, size = [], 0
     for t in texts:
         part.append(t.as_py())
         size += len(part[-1])
-        if size >= CHUNK:
+        if size >= chunk:
             yield part
             part, size = [], 0
     if part:
@@ -344,16 +344,21 @@ def _id_arrays(encoded: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int32), *encoded])))
 
 
-def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
-    """``id, n_pieces, ids`` for every text, with ``decoded`` and ``round_trip`` if they are asked for."""
+def encode(
+    docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False, chunk: int = CHUNK, remember: int = KEPT_CHARACTERS
+) -> DataFrame:
+    """``id, n_pieces, ids`` for every text, with ``decoded`` and ``round_trip`` if they are asked for.
+
+    ``chunk`` (characters encoded together) and ``remember`` (characters of words that a worker keeps the pieces of) set its memory and change no result.
+    """
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def work(batches):
         m = model(path)
         for batch in batches:
             done = 0
-            for part in _pieces(batch.column(1)):
-                encoded = m.encode(part)
+            for part in _pieces(batch.column(1), chunk):
+                encoded = m.encode(part, remember)
                 arrays = [batch.column(0).slice(done, len(part)), pa.array([len(x) for x in encoded], pa.int64()), _id_arrays(encoded)]
                 names = ["id", "n_pieces", "ids"]
                 if decoded:
