@@ -72,7 +72,8 @@ def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Encode every text, decode it to see that nothing was lost, and give its ``position`` in the mixture."""
     # Encoded rows keep one column beside the text.
     rows = with_position(spark, docs).select(F.struct("doc_id", "position").alias("row"), "text")
-    encoded = encode(rows, tokenizer_path("piece_bpe_32k.model"), id_col="row", decoded=True)
+    # Executors hold what the earlier stages have left in their workers, so the encoder takes less memory than it might.
+    encoded = encode(rows, tokenizer_path("piece_bpe_32k.model"), id_col="row", decoded=True, chunk=1 << 20, remember=8_000_000)
     return encoded.select("row.doc_id", *[c for c in encoded.columns if c not in ("row", "decoded")], "row.position")
 
 
