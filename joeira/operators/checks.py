@@ -8,10 +8,12 @@ once (``count_checks``); one projection lists every failing row of every check
 from __future__ import annotations
 
 import datetime as dt
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from joeira.functions.ids import ID_PATTERN
 from joeira.functions.dates import year_suffix
@@ -21,6 +23,8 @@ from joeira.operators.derive import OLDEST_BIRTH_YEAR
 
 LONG_STAY_DAYS = 60
 VERY_YOUNG, VERY_OLD = 5, 100
+# How Spark names the condition of an error of an expression.
+_CONDITION = re.compile(r"\[[A-Z][A-Z0-9_]+(\.[A-Z0-9_]+)*\]")
 
 
 @dataclass(frozen=True)
@@ -203,6 +207,61 @@ def count_checks(df: DataFrame, checks: Sequence[Check]) -> DataFrame:
     )
 
 
+@dataclass(frozen=True)
+class Broken:
+    """A check that cannot be run, and why."""
+
+    check: Check
+    error: str
+
+
+def working_checks(df: DataFrame, checks: Sequence[Check]) -> tuple[list[Check], list[Broken]]:
+    """The checks that run over all rows of ``df``, and those that do not, kept apart so that one cannot stop the others.
+
+    A check that does not fit the columns is found without a job.  An error that only some row raises takes running it: one pass
+    tries all checks together with what they would list, and only if that fails are halves tried, so that a broken
+    check costs a pass for each halving.  A failure that is no error of an expression, such as a lost store, is raised.
+    """
+    fit: list[Check] = []
+    broken: list[Broken] = []
+    for c in checks:
+        try:
+            df.select(c.fails(), c.issue()).schema
+            fit.append(c)
+        except AnalysisException as problem:
+            broken.append(Broken(c, _reason(problem)))
+    good: list[Check] = []
+    waiting = [fit] if fit else []
+    while waiting:
+        some = waiting.pop()
+        # The sums keep the plan from leaving any of the expressions out.
+        tried = [x for i, c in enumerate(some) for x in (F.count_if(c.in_scope()).alias(f"s{i}"), F.bit_xor(F.when(c.fails(), F.xxhash64(c.issue()))).alias(f"f{i}"))]
+        try:
+            df.agg(*tried).collect()
+            good += some
+        except Exception as problem:
+            if not _CONDITION.search(str(problem)):
+                raise
+            if len(some) == 1:
+                broken.append(Broken(some[0], _reason(problem)))
+            else:
+                half = len(some) // 2
+                waiting += [some[:half], some[half:]]
+    place = {id(c): i for i, c in enumerate(checks)}
+    return sorted(good, key=lambda c: place[id(c)]), sorted(broken, key=lambda b: place[id(b.check)])
+
+
+def _reason(problem: Exception) -> str:
+    """The first line of an error that names its condition."""
+    lines = str(problem).splitlines()
+    return next((x.strip() for x in lines if _CONDITION.search(x)), lines[0] if lines else type(problem).__name__)
+
+
+def broken_checks(spark: SparkSession, broken: Sequence[Broken]) -> DataFrame:
+    """``column, check, error``: one row for each check that cannot be run."""
+    return spark.createDataFrame([(b.check.column, b.check.name, b.error) for b in broken], "column string, check string, error string")
+
+
 def list_issues(df: DataFrame, checks: Sequence[Check]) -> DataFrame:
     """One row per failed check and source row; a projection, no shuffle.
 

@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import datetime as dt
 import uuid
+from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from joeira.functions.dates import as_of_date
-from joeira.operators.checks import Check, count_checks, first_examples, list_issues, standard_checks
+from joeira.operators.checks import (
+    Broken, Check, broken_checks, count_checks, first_examples, list_issues, standard_checks, working_checks,
+)
 from joeira.operators.derive import derive
 from joeira.operators.distributions import age_histogram, count_values, frequencies, number_stats, summarise
 from joeira.operators.duplicates import (
@@ -51,6 +54,7 @@ class QualityResult:
     year_filter: str | None = None
     profile: DataFrame | None = None
     copy: str | None = None
+    own_checks: Sequence[Check] = ()
 
     @cached_property
     def rows(self) -> DataFrame:
@@ -59,7 +63,17 @@ class QualityResult:
 
     @cached_property
     def checks(self) -> list[Check]:
-        return standard_checks(self.source.columns, self.as_of)
+        return [*standard_checks(self.source.columns, self.as_of), *self._tried[0]]
+
+    @cached_property
+    def _tried(self) -> tuple[list[Check], list[Broken]]:
+        """The caller's checks, tried in a pass of their own: one that fails must not end the run."""
+        return working_checks(self.rows, self.own_checks) if self.own_checks else ([], [])
+
+    @cached_property
+    def errors(self) -> DataFrame:
+        """``column, check, error``: the caller's checks that could not be run."""
+        return broken_checks(self.source.sparkSession, self._tried[1])
 
     @cached_property
     def filter_info(self) -> DataFrame:
@@ -177,6 +191,8 @@ class QualityResult:
                     )
                 )
             )
+        if self._tried[1]:
+            parts.append(self.errors.select("column", "check", F.lit("error").alias("metric"), F.lit(1.0).alias("value")))
         return reduce(DataFrame.unionByName, parts)
 
     def exit_code(self) -> int:
@@ -201,15 +217,18 @@ def run_quality(
     year_filter: str | None = None,
     reuse: bool = False,
     profile: DataFrame | None = None,
+    checks: Sequence[Check] = (),
 ) -> QualityResult:
     """Plan a quality run over a table that has ``row_idx``.
 
     ``reuse`` writes the filtered rows with their helper columns to the
     session's shared folder first, so that the passes read columns instead of
     parsing text again; worth it for CSV sources.  It fails without such a
-    folder; ``close`` deletes the copy.
+    folder; ``close`` deletes the copy.  ``checks`` are run beside the standard
+    ones; each that cannot be run has a row in ``errors`` and a metric ``error``
+    among the findings, and all others go on.
     """
-    result = QualityResult(source, as_of_date(as_of), year_filter, profile)
+    result = QualityResult(source, as_of_date(as_of), year_filter, profile, own_checks=tuple(checks))
     if reuse:
         result.copy = f"quality_rows_{uuid.uuid4().hex}"
         result.rows = written(result.rows, result.copy)

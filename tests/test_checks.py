@@ -1,6 +1,7 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
 from joeira.operators.checks import allowed_check, count_checks, first_examples, list_issues, pattern_check
 from joeira.plans.quality import run_quality
@@ -144,3 +145,45 @@ def test_reuse_gives_the_same_figures(frame):
     plain, reused = (run_quality(frame("ID data_ent sexo", rows), AS_OF, reuse=r) for r in (False, True))
     assert figures(plain) == figures(reused)
     assert "parquet" in reused.rows._jdf.queryExecution().toString().lower()
+
+
+def test_a_broken_check_stops_no_other(frame):
+    from joeira.operators.checks import Check, working_checks
+    from joeira.plans.quality import run_quality
+
+    rows = frame("ID nome sexo data_ent", [("2501", "Ana", "M", "1-1-2025"), ("2502", "x7", "F", "2-1-2025"), ("25", "12", "?", "x")])
+    number = F.col("nome").cast("int")
+    own = [
+        Check("long_name", "nome", F.length("nome") > 2, value=F.col("nome")),
+        Check("no_number", "nome", number > 3),  # raises for names that are none
+        Check("no_column", "lost", F.col("lost") > 1),
+        Check("bad_listing", "nome", F.lit(True), number=F.col("nome")),  # fails only in what it would list
+        Check("no_condition", "nome", F.col("nome") + F.array(F.lit(1))),
+        Check("by_zero", "ID", F.lit(1) / (F.length("ID") - 2) > 5),
+        Check("short_id", "ID", F.length("ID") < 4),
+    ]
+    good, broken = working_checks(rows, own)
+    assert [c.name for c in good] == ["long_name", "short_id"]
+    assert [b.check.name for b in broken] == ["no_number", "no_column", "bad_listing", "no_condition", "by_zero"]
+    run = run_quality(rows, "2025-06-30", checks=own)
+    found = {(r.check, r.metric): r.value for r in run.findings.collect()}
+    assert found["long_name", "failed_count"] == 1 and found["short_id", "failed_count"] == 1 and found["sexo_missing", "scope_count"] == 3
+    assert {c for c, m in found if m == "error"} == {b.check.name for b in broken}
+    errors = {r.check: r.error for r in run.errors.collect()}
+    assert "CAST_INVALID_INPUT" in errors["no_number"] and "DIVIDE_BY_ZERO" in errors["by_zero"] and "lost" in errors["no_column"]
+    assert run.issues.where("check = 'short_id'").count() == 1
+
+
+def test_a_failure_that_is_none_of_the_checks_is_raised(frame, monkeypatch):
+    from joeira.operators.checks import Check, working_checks
+
+    rows = frame("ID", ["1"])
+    monkeypatch.setattr(type(rows), "agg", lambda *a: (_ for _ in ()).throw(OSError("the store is gone")))
+    with pytest.raises(OSError):
+        working_checks(rows, [Check("any", "ID", F.lit(True))])
+
+
+def test_nothing_to_try(frame):
+    from joeira.operators.checks import working_checks
+
+    assert working_checks(frame("ID", ["1"]), []) == ([], [])
