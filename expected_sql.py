@@ -648,6 +648,7 @@ EXPECTED_SQL: dict[str, str] = {
     ),
     "table_shapes": _shapes(),
     "table_stats": _table_sizes(),
+    "table_stats_all": _table_sizes(),
     "table_profile": _profiles(),
     "catalog_lookup": _shapes(", true AS known, true AS listed"),
     "sheet_list": "SELECT unnest([" + ", ".join(f"'{t}'" for t in _COLUMNS) + "]) AS sheet_name, 'parquet' AS format, CAST(1 AS BIGINT) AS files",

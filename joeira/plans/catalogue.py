@@ -619,6 +619,7 @@ QUERIES: dict[str, Query] = {
     "table_profile": q_table_profile,
     "table_shapes": table_shapes,
     "table_stats": q_table_stats,
+    "table_stats_all": q_table_stats,
     "catalog_lookup": catalog_lookup,
     "sheet_list": sheet_list,
     "fingerprint_documents": fingerprint_of("documents", "doc_id", ordered=True),
