@@ -120,12 +120,17 @@ class WordIds(dict):
         self._put(waiting, out)
         return [b"".join(ids) for ids in out]
 
+    def __missing__(self, part: str) -> bytes:
+        ids = self.merge(part)
+        out = pack_ids(f"<{len(ids)}I", *ids)
+        if len(part) < 100:
+            self[part] = out
+        return out
+
     def _put(self, waiting: list[tuple[int, list[str]]], out: list[list[bytes]]) -> None:
         if len(self) > KEPT_WORDS:
             self.clear()
             self.update(self.special)
-        new = [p for p in set().union(*[parts for _, parts in waiting]) if p not in self]
-        self.update((p, pack_ids(f"<{len(ids)}I", *ids)) for p, ids in zip(new, map(self.merge, new)))
         for k, parts in waiting:
             out[k].append(b"".join(map(self.__getitem__, parts)))
 
