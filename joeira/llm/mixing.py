@@ -34,6 +34,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from joeira.llm.common import Scratch, parallelism
 
 MAX_SOURCES = 1000
+PLACE_BITS = 33  # of ``monotonically_increasing_id``, for the place in a part
 MAX_CELLS = 2_000_000  # sources times slots of a period; both sit in one small array
 ADDED = ("source_index", "block", "slot", "release", "deadline", "position")
 
@@ -75,19 +76,20 @@ def edf_period(sources: DataFrame) -> DataFrame:
 def _number(rows: DataFrame, order: list[str], scratch: Scratch) -> DataFrame:
     """``rows`` with ``_rank``: 0-based place in the order of ``order``, by one range shuffle."""
     parts = rows.repartitionByRange(max(1, parallelism(rows.sparkSession)), *order).sortWithinPartitions(*order)
-    kept = scratch.save(parts.withColumn("_part", F.spark_partition_id()))
-    # One file per part, written in order: a row's place is that of its part plus its place in the file.
-    sizes = kept.groupBy("_part").agg(F.count("*").alias("_n"))
+    # The part and the row's place in it, written as a column: how many files a part is cut into does not matter.
+    kept = scratch.save(parts.withColumn("_at", F.monotonically_increasing_id()))
+    placed = kept.withColumns({"_part": F.shiftright("_at", PLACE_BITS), "_row": F.col("_at").bitwiseAND(F.lit((1 << PLACE_BITS) - 1))}).drop("_at")
+    sizes = placed.groupBy("_part").agg(F.count("*").alias("_n"))
     table = sizes.agg(F.map_from_entries(F.collect_list(F.struct("_part", "_n"))).alias("m"))
     before = table.selectExpr(
         "map_from_entries(transform(map_keys(m), k -> struct(k, aggregate(filter(map_entries(m), e -> e.key < k), 0L, (x, e) -> x + e.value)))) AS b"
     )
-    return kept.withColumn("_rank", F.element_at(before.scalar(), F.col("_part")) + F.col("_metadata.row_index")).drop("_part")
+    return placed.withColumn("_rank", F.element_at(before.scalar(), F.col("_part")) + F.col("_row")).drop("_part", "_row")
 
 
 def mix(docs: DataFrame, weights: dict, default_weight: int = 1, block_rows: int = 64, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
     """All columns of ``docs`` with ``source_index, block, slot, release, deadline, position``."""
-    clash = [c for c in (*ADDED, "_rank", "_part", "_uid") if c in docs.columns]
+    clash = [c for c in (*ADDED, "_rank", "_part", "_row", "_at", "_uid") if c in docs.columns]
     if clash:
         raise ValueError(f"the input has columns of the result: {clash}")
     spark = docs.sparkSession

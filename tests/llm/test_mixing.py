@@ -56,6 +56,16 @@ def test_cases(spark):
         mix_order(docs, {"s0": 0.5})
 
 
+def test_parts_cut_into_many_files(spark):
+    docs = documents(spark)
+    want = sorted(map(str, mix_order(docs, {"s0": 3}, block_rows=2).collect()))
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", "2")
+    try:
+        assert sorted(map(str, mix_order(docs, {"s0": 3}, block_rows=2).collect())) == want
+    finally:
+        spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+
+
 def test_plan_is_native(spark):
     plan = mix_order(documents(spark), {"s0": 2})._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "InArrow" not in plan and "Cartesian" not in plan
