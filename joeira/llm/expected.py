@@ -42,33 +42,39 @@ def _licenses() -> str:
     rows = []
     for base, templates in ((True, PHRASES), (False, NOTICES)):
         for text, label in templates.items():
+            label, *own = (label,) if base else label
             words = text.split()
-            rows += [f"({_text(a + ' ' + b)}, {_text(str(int(base)) + text)}, {_text(label)}, {base}, {i}, {len(words) - 1})" for i, (a, b) in enumerate(zip(words, words[1:]))]
+            pairs = [f"{a} {b}" for a, b in zip(words, words[1:])]
+            rows += [f"({_text(p)}, {_text(str(int(base)) + text)}, {_text(label)}, {base}, {i}, {len(pairs)}, {p in own}, {len(own)})" for i, p in enumerate(pairs)]
     return f"""
-WITH templates(pair, template, label, base, t_pos, n_grams) AS (VALUES {", ".join(rows)}),
+WITH templates(pair, template, label, base, t_pos, n_grams, own, n_own) AS (VALUES {", ".join(rows)}),
 texts AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
 grams AS (
   SELECT doc_id, pos, w[pos + 1] || ' ' || w[pos + 2] AS pair FROM (SELECT doc_id, w, unnest(range(len(w) - 1)) AS pos FROM texts)),
-votes AS (SELECT doc_id, template, label, base, n_grams, t_pos, pos - t_pos AS diagonal FROM grams JOIN templates USING (pair)),
+votes AS (SELECT doc_id, template, label, base, n_grams, n_own, own, t_pos, pos - t_pos AS diagonal FROM grams JOIN templates USING (pair)),
 diagonals AS (
-  SELECT doc_id, template, label, base, n_grams, diagonal, count(*) AS votes, min(t_pos) AS t_first, max(t_pos) AS t_last, list(t_pos) AS t_all
-  FROM votes GROUP BY ALL),
+  SELECT doc_id, template, label, base, n_grams, n_own, diagonal, count(*) AS votes, min(t_pos) AS t_first, max(t_pos) AS t_last, list(t_pos) AS t_all,
+    [x.t FOR x IN list({{'t': t_pos, 'o': own}}) IF x.o] AS t_own
+  FROM votes GROUP BY doc_id, template, label, base, n_grams, n_own, diagonal),
 starts AS (
   SELECT *, CASE WHEN base OR coalesce(diagonal - lag(diagonal) OVER (PARTITION BY doc_id, template ORDER BY diagonal) > {NEAR}, true) THEN 1 ELSE 0 END AS new
   FROM diagonals),
 numbered AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS place FROM starts),
 places AS (
-  SELECT doc_id, template, label, base, n_grams, place, min(diagonal + t_first) AS first_word, max(diagonal + t_last) + 1 AS last_word,
-    max(votes) AS best, len(list_distinct(flatten(list(t_all)))) AS covered
-  FROM numbered GROUP BY ALL),
+  SELECT doc_id, template, label, base, n_grams, n_own, place, min(diagonal + t_first) AS first_word, max(diagonal + t_last) + 1 AS last_word,
+    max(votes) AS best, len(list_distinct(flatten(list(t_all)))) AS covered,
+    len(list_distinct(flatten(list(t_own)))) AS held, coalesce(max(votes) FILTER (len(t_own) = n_own), 0) AS best_own,
+    last_word - first_word + 1 <= (n_grams + 1) * {LONGER} AS short
+  FROM numbered GROUP BY doc_id, template, label, base, n_grams, n_own, place),
 judged AS (
-  SELECT *, CASE WHEN base OR last_word - first_word + 1 > (n_grams + 1) * {LONGER} THEN best ELSE covered END / n_grams AS coverage FROM places),
+  SELECT *, CASE WHEN base OR NOT short THEN best ELSE covered END / n_grams AS coverage,
+    greatest(best_own, CASE WHEN short AND held = n_own THEN covered ELSE 0 END) / n_grams >= {COVERAGE} AS enough FROM places),
 found AS (
   SELECT doc_id, count(*) FILTER (base AND coverage >= 1) AS n_base, min(first_word) FILTER (base AND coverage >= 1) AS first_word,
     max(first_word) FILTER (base AND coverage >= 1) AS last_word,
     list_sort(list(DISTINCT label) FILTER (base AND coverage >= 1)) AS base_labels,
-    list_sort(list(DISTINCT label) FILTER ((base AND coverage >= 1) OR (NOT base AND coverage >= {COVERAGE}))) AS labels,
+    list_sort(list(DISTINCT label) FILTER ((base AND coverage >= 1) OR (NOT base AND enough))) AS labels,
     max(CASE WHEN base AND coverage >= 1 THEN 1.0 WHEN NOT base THEN coverage END) AS score
   FROM judged GROUP BY doc_id)
 SELECT t.doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
