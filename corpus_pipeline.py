@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from joeira.llm.common import Scratch, table
 from joeira.llm.mixing import mix
@@ -24,10 +24,20 @@ SHINGLE = 3  # words
 RADIUS = 2  # bits
 
 
+def _wrapped(docs: DataFrame, *names: str) -> DataFrame:
+    """Columns ``names`` and a column ``row`` with all others, where they are out of the way of what an operator adds."""
+    return docs.select(*names, F.struct(*[F.col(c) for c in docs.columns if c not in names]).alias("row"))
+
+
+def _unwrapped(found: DataFrame, columns: list[str], *names: str, **changed: Column) -> DataFrame:
+    """``columns`` again: ``names`` as they are, ``changed`` as given, the others out of ``row``."""
+    return found.select(*[changed[c].alias(c) if c in changed else F.col(c) if c in names else F.col("row")[c].alias(c) for c in columns])
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that the classifier gives less than 0.5."""
     model = train(docs, table(spark, sf_dir, "labels"))
-    return score(docs, model).where("_score >= 0.5").drop("_score")
+    return _unwrapped(score(_wrapped(docs, "text"), model).where("_score >= 0.5"), docs.columns, "text")
 
 
 def simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,14 +47,16 @@ def simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut strings of 50 bytes that an earlier document has; a document that had nothing else goes."""
-    cut = remove_repeats(docs)
+    cut = remove_repeats(_wrapped(docs, "doc_id", "text"))
     left = cut.where("n_removed = 0 OR n_removed < n_bytes")
-    return left.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    n_chars = F.when(F.col("n_removed") > 0, F.length("text").cast("bigint")).otherwise(F.col("row.n_chars"))
+    return _unwrapped(left, docs.columns, "doc_id", "text", n_chars=n_chars)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Put the documents into the order of the mixture: the written files follow it, row by row."""
-    return mix(docs, MIX_WEIGHTS, MIX_DEFAULT, block_rows=MIX_BLOCK).orderBy("position").select(*docs.columns)
+    mixed = mix(_wrapped(docs, "doc_id", "source"), MIX_WEIGHTS, MIX_DEFAULT, block_rows=MIX_BLOCK)
+    return _unwrapped(mixed.orderBy("position"), docs.columns, "doc_id", "source")
 
 
 def with_position(spark: SparkSession, docs: DataFrame) -> DataFrame:
