@@ -8,8 +8,8 @@ passages matter, and the document is scored on the weighted mean of its
 passages.  Labels, language, source and identifier are never inputs of a score.
 
 The fit uses a bounded sample: the ``max_docs`` labelled documents with the
-smallest hash of their identifier, less those longer than ``max_passages``
-passages.  That is at most ``max_docs * max_passages`` vectors of 26 numbers
+smallest hash of their identifier; a text of more than ``max_passages`` passages
+is stood for by that many, hash-chosen from the whole of it.  That is at most ``max_docs * max_passages`` vectors of 26 numbers
 (27 MB as given), fitted with numpy on the driver.  Scoring is one pass over
 all documents without a shuffle.
 
@@ -192,6 +192,14 @@ def _chunks(texts: pa.Array):
         yield part
 
 
+def chosen(n: int, most: int) -> np.ndarray:
+    """Which of ``n`` passages speak for a document in the sample: all, or ``most`` that a hash of their place picks from the whole text."""
+    if n <= most:
+        return np.arange(n)
+    mixed = (np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20)
+    return np.sort(np.argsort(mixed, kind="stable")[:most])
+
+
 def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, max_passages: int = MAX_PASSAGES, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Attention:
     """Fit on a bounded sample of the labelled documents that are not held out."""
     known = (
@@ -199,9 +207,7 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, max_pass
         .where(F.col("id").isNotNull() & F.col("y").isin(0.0, 1.0) & ~held_out(F.col("id")))
         .groupBy("id").agg(F.min("y").alias("y"), F.max("y").alias("most")).where("y = most").drop("most")
     )
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where(
-        F.octet_length("text") <= max_passages * PASSAGE
-    )
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     # One row for each document, though the table may repeat it; the sample is taken before any text is read.
     there = rows.select("id").join(known, "id", "left_semi").distinct()
     sample = known.join(there, "id").orderBy(F.xxhash64("id"), "id").limit(max_docs)
@@ -210,13 +216,15 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, max_pass
         for batch in batches:
             for k in range(batch.num_rows):
                 x, _ = passage_vectors([batch.column(2)[k].as_py().encode()])
+                x = x[chosen(len(x), max_passages)]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(k, 1), batch.column(1).slice(k, 1), pa.array([x.tobytes()], pa.binary())], names=["id", "y", "x"]
                 )
 
     id_type = docs.schema[id_col].dataType.simpleString()
     vectors = rows.join(F.broadcast(sample), "id").select("id", "y", "text").mapInArrow(work, f"id {id_type}, y double, x binary")
-    got = {r.id: (r.y, r.x) for r in vectors.toLocalIterator()}  # at most max_docs of them, and copies
+    # Repeats of a document are taken together before they leave the executors: at most max_docs rows arrive.
+    got = {r.id: (r.y, r.x) for r in vectors.groupBy("id").agg(F.min("y").alias("y"), F.min("x").alias("x")).collect()}
     ids = sorted(got)
     parts = [np.frombuffer(got[i][1], dtype=np.float32).reshape(-1, N_FEATURES) for i in ids]
     x = np.concatenate(parts) if parts else np.zeros((0, N_FEATURES))

@@ -54,6 +54,17 @@ def test_classifier_on_awkward_rows(spark):
     assert {r.score for r in quality.classify(docs, labels.limit(0)).collect()} == {0.5}
 
 
+def test_long_texts_are_learned_from(spark):
+    assert quality.chosen(5, 8).tolist() == list(range(5))
+    some = quality.chosen(1000, 64)
+    assert len(set(some.tolist())) == 64 and some.min() < 50 and some.max() > 950
+    good, bad = "Plain words make a sentence. " * 3000, "XQ!! 99 $$ " * 8000  # both far beyond 64 passages
+    docs = spark.createDataFrame([(i, (bad, good)[i % 2]) for i in range(40)] * 2, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id bigint, quality int")
+    out = quality.classify(docs, labels).collect()
+    assert len(out) == 80 and all(r.predicted == r.doc_id % 2 for r in out)
+
+
 @needs_data
 def test_held_out_accuracy(spark):
     out = QUERIES["op5_quality"](spark, SF_DIR).join(spark.read.parquet(f"{SF_DIR}/labels.parquet"), "doc_id").where("held_out").collect()
@@ -131,3 +142,16 @@ def test_stages_on_awkward_rows(spark, tmp_path):
         assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).where(F.col("n_pieces") > 0).count() > 0
+
+
+def test_stages_keep_columns_called_like_their_own(spark, tmp_path):
+    docs = documents(spark).select("doc_id", "text", "lang", "source", "n_chars")
+    mine = ("position", "slot", "block", "release", "_uid", "_rank", "_part", "_score", "n_removed", "n_bytes", "kept", "row", "uid", "component_id", "fingerprint")
+    # One value to each row: what a stage keeps of it has to stay beside its document.
+    docs = docs.withColumns({c: F.concat(F.lit(c), F.coalesce(F.col("source"), F.lit("")), F.coalesce(F.col("lang"), F.lit(""))) for c in mine})
+    spark.createDataFrame([(1, 1), (12, 0), (14, 1), (9, 1), (13, 0)], "doc_id bigint, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns
+        rows = out.collect()
+        assert rows and all(r[c] == c + (r["source"] or "") + (r["lang"] or "") for r in rows for c in mine)
