@@ -1,8 +1,13 @@
 """Number sequences per group: extent, missing numbers, gaps.
 
-Gaps come from comparing each number with the next one.  A window over a whole
-group could be unbounded, so numbers are compared inside blocks of 2^21
-consecutive values first, then block edges inside larger blocks, then the
+Numbers are first folded to bitmaps: a 64-bit word for every 64 consecutive
+values of a group, or-ed together before and after one shuffle, so a dense
+sequence moves a word for up to 64 numbers, however often each occurs.  Extent,
+counts and the gaps inside a word are read off its bits.
+
+Gaps between words come from comparing each word with the next one.  A window
+over a whole group could be unbounded, so words are compared inside blocks of
+2^21 consecutive values first, then block edges inside larger blocks, then the
 edges of those inside the group.  Every window partition therefore holds at
 most about two million rows, whatever the data looks like.
 """
@@ -11,15 +16,15 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window as W, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from joeira.functions.ids import serial_from_id, year_prefix
 
 # Block widths as powers of two; the last step takes the group as a whole.
 BLOCK_BITS = (21, 42, None)
 INT_BLOCK_BITS = (21, None)
-# Gaps of at least this width are spread over the tasks in coarser pieces.
-WIDE_GAP = 1 << 40
+# A word of a bitmap holds 2^6 numbers.
+WORD_BITS = 6
 
 
 def id_serials(df: DataFrame) -> DataFrame:
@@ -38,16 +43,31 @@ def id_serials_of(counted: DataFrame, count: str = "n") -> DataFrame:
     )
 
 
-def _distinct(df: DataFrame, group: str, number: str, weight: str | None = None) -> DataFrame:
+def _words(df: DataFrame, group: str, number: str, weight: str | None = None) -> DataFrame:
+    """``_word``, its ``_bits`` and the rows ``_n`` in it, for every group; a null number has a word of its own, without bits."""
     rows = F.count("*") if weight is None else F.sum(weight)
-    return df.groupBy(group, number).agg(rows.alias("_n"))
+    n = F.col(number).cast("bigint")
+    place = n.bitwiseAND(F.lit((1 << WORD_BITS) - 1)).cast("int")
+    return (
+        df.select(group, *([] if weight is None else [weight]), F.shiftright(n, WORD_BITS).alias("_word"), place.alias("_place"))
+        .groupBy(group, "_word")
+        .agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("_place"))).alias("_bits"), rows.alias("_n"))
+    )
+
+
+def _extent() -> tuple[Column, Column]:
+    """The smallest and the largest number of a word."""
+    first = F.shiftleft("_word", WORD_BITS)
+    # The zeros below the lowest bit; less one is too small a number only for the highest bit alone.
+    below = F.coalesce(F.bit_count(F.try_subtract("_bits", F.lit(1).cast("bigint")).bitwiseAND(F.bitwise_not("_bits"))), F.lit((1 << WORD_BITS) - 1))
+    return F.when(F.col("_bits").isNotNull(), first + below), first + (F.length(F.bin("_bits")) - 1)
 
 
 def sequences(df: DataFrame, group: str = "year", number: str = "serial", weight: str | None = None) -> DataFrame:
     """Rows, smallest and largest number, and how many are missing between.
 
-    Rows are first folded to distinct (group, number) pairs, so a group with
-    very many rows costs its reducer only its distinct numbers.  A group is not
+    Rows are first folded to words of 64 numbers, so a group with very many rows
+    costs its reducer only its words.  A group is not
     ``valid`` without any number, or if more numbers are missing than a BIGINT
     can say; its ``missing_count`` is null then.  With ``weight`` a row of ``df``
     stands for that many rows.
@@ -55,15 +75,17 @@ def sequences(df: DataFrame, group: str = "year", number: str = "serial", weight
     # Two serials may be more than a BIGINT apart.
     span = F.col("max_serial").cast("decimal(20,0)") - F.col("min_serial").cast("decimal(20,0)") + 1
     missing = span - F.col("distinct_serials")
+    lo, hi = _extent()
     return (
-        _distinct(df, group, number, weight)
+        _words(df, group, number, weight)
         .groupBy(group)
         .agg(
             F.sum("_n").alias("count"),
-            F.min(number).alias("min_serial"),
-            F.max(number).alias("max_serial"),
-            F.count(number).alias("distinct_serials"),
+            F.min(lo).alias("min_serial"),
+            F.max(hi).alias("max_serial"),
+            F.coalesce(F.sum(F.bit_count("_bits").cast("bigint")), F.lit(0)).alias("distinct_serials"),
         )
+        .withColumns({c: F.col(c).cast(df.schema[number].dataType) for c in ("min_serial", "max_serial")})
         .select(
             group,
             "count",
@@ -78,53 +100,61 @@ def sequences(df: DataFrame, group: str = "year", number: str = "serial", weight
 
 def gap_ranges(df: DataFrame, group: str = "year", number: str = "serial") -> DataFrame:
     """First and last missing number of every gap; ``gap_len`` is null beyond a BIGINT."""
-    spans = (
-        _distinct(df.filter(F.col(number).isNotNull()), group, number)
-        .select(group, F.col(number).cast("bigint").alias("lo"), F.col(number).cast("bigint").alias("hi"))
-    )
+    levels = INT_BLOCK_BITS if isinstance(df.schema[number].dataType, T.IntegerType) else BLOCK_BITS
+    words = _words(df.filter(F.col(number).isNotNull()), group, number).select(group, "_word", "_bits")
+    # Words move, not numbers: they are unfolded where the first windows are.
+    spans = _runs(words.withColumn("_block", F.shiftright("_word", levels[0] - WORD_BITS)).repartition(group, "_block"), group)
     found = []
-    for bits in INT_BLOCK_BITS if isinstance(df.schema[number].dataType, T.IntegerType) else BLOCK_BITS:
-        block = [] if bits is None else ["_block"]
-        placed = spans if bits is None else spans.withColumn("_block", F.shiftright("lo", bits))
-        following = F.lead("lo").over(W.partitionBy(group, *block).orderBy("lo"))
+    for level, bits in enumerate(levels):
+        order = W.partitionBy(group, *([] if bits is None else ["_block"])).orderBy("_lo")
+        met = spans.withColumns({"_next": F.lead("_lo").over(order), "_first": F.first("_lo").over(order)})
         found.append(
-            placed.select(group, F.col("hi"), following.alias("next"))
-            .withColumn("_step", F.try_subtract("next", "hi"))
-            .filter(F.col("next").isNotNull() & F.coalesce(F.col("_step") > 1, F.lit(True)))
+            met.withColumn("_step", F.try_subtract("_next", "_hi"))
+            .filter(F.col("_next").isNotNull() & F.coalesce(F.col("_step") > 1, F.lit(True)))
             .select(
                 group,
-                (F.col("hi") + 1).alias("gap_start"),
-                (F.col("next") - 1).alias("gap_end"),
+                (F.col("_hi") + 1).alias("gap_start"),
+                (F.col("_next") - 1).alias("gap_end"),
                 (F.col("_step") - 1).alias("gap_len"),
             )
         )
-        if block:
-            spans = placed.groupBy(group, *block).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).drop(*block)
+        if bits is not None:
+            # The last row of a block knows its first number: one row a block goes on.
+            spans = met.filter(F.col("_next").isNull()).select(group, F.col("_first").alias("_lo"), "_hi")
+            if levels[level + 1] is not None:
+                spans = spans.withColumn("_block", F.shiftright("_lo", levels[level + 1]))
     return reduce(DataFrame.unionByName, found)
 
 
-def _pieces(gaps: DataFrame, bits: int) -> DataFrame:
-    """Gaps of at most 2^(``bits`` + 16) numbers cut into pieces of at most 2^``bits``."""
-    width = 1 << bits
+def _runs(words: DataFrame, group: str) -> DataFrame:
+    """``_lo, _hi`` of each word without a gap inside, which most of a dense sequence are; of other words each number."""
+    lo, hi = _extent()
+    full = F.bit_count("_bits") == F.col("_hi") - F.col("_lo") + 1
+    there = F.getbit("_bits", F.col("_n").bitwiseAND(F.lit((1 << WORD_BITS) - 1)).cast("int")) == 1
+    return (
+        words.withColumns({"_lo": lo, "_hi": hi})
+        .withColumn("_full", full)
+        .withColumn("_n", F.explode(F.when(F.col("_full"), F.array("_lo")).otherwise(F.sequence("_lo", "_hi"))))
+        .filter(there)
+        .select(group, "_block", F.col("_n").alias("_lo"), F.when(F.col("_full"), F.col("_hi")).otherwise(F.col("_n")).alias("_hi"))
+    )
 
-    def up_to(steps: int):
-        far = F.try_add("_from", F.lit(min(steps, (1 << 63) - 1)).cast("bigint"))
-        return F.least(F.coalesce(far, F.col("_to")), F.col("_to"))
 
-    # The bound changes nothing for such gaps; it keeps the array short where the plan looks at it before a filter does.
-    cut = F.explode(F.sequence("_from", up_to(width * 65_535), F.lit(width).cast("bigint")))
-    end = up_to(width - 1)
-    return gaps.withColumn("_from", cut).withColumn("_to", end)
+def _cut(gaps: DataFrame, width: Column) -> DataFrame:
+    """Gaps cut into pieces of at most ``width`` numbers; the caller sees to it that a gap has not too many."""
+    cut = F.explode(F.sequence("_from", "_to", "_width"))
+    far = F.try_add("_from", F.col("_width") - 1)
+    return gaps.withColumn("_width", width).withColumn("_from", cut).withColumn("_to", F.least(F.coalesce(far, F.col("_to")), "_to")).drop("_width")
 
 
 def missing_numbers(gaps: DataFrame, group: str = "year") -> DataFrame:
     """Every missing number, one per row.
 
     The list is as long as the gaps are wide: one stray number can ask for more
-    rows than any disk holds, and ``gap_ranges`` is the safe form.  Gaps are
-    cut into pieces level by level, none of which makes an array of more than
-    2^16 elements, and pieces are spread over all tasks, so a long gap is not
-    written out by a single task and a limit on the result ends early.
+    rows than any disk holds, and ``gap_ranges`` is the safe form.  A gap is cut
+    into at most 2^16 pieces, which are spread over all tasks, so a long gap is
+    not written out by a single task; a piece is cut again level by level, so no
+    array has more than 2^16 elements and a limit on the result ends early.
     """
     spread = int(gaps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     below, above = F.col("gap_start") < 0, F.col("gap_end") >= 0
@@ -136,12 +166,13 @@ def missing_numbers(gaps: DataFrame, group: str = "year") -> DataFrame:
     signed = gaps.select(group, F.explode(halves).alias("_h")).filter("_h IS NOT NULL").select(
         group, F.col("_h.a").alias("_from"), F.col("_h.b").alias("_to")
     )
-    wide = F.col("_to") - F.col("_from") >= WIDE_GAP
+    bits = F.length(F.bin(F.col("_to") - F.col("_from")))
+    pieces = _cut(signed, F.call_function("shiftleft", F.lit(1).cast("bigint"), F.greatest(F.lit(16), bits - 16))).repartition(spread, "_from")
     # ``coalesce`` moves nothing here.  It keeps the levels in code of their own: fused, the inner arrays of one row would
     # all be unfolded before the next operator gets a row.
-    near = _pieces(_pieces(signed.filter(~wide), 32).coalesce(spread), 16).repartition(spread, "_from")
-    far = _pieces(_pieces(_pieces(signed.filter(wide), 48).repartition(spread, "_from"), 32).coalesce(spread), 16).coalesce(spread)
-    return near.unionByName(far).select(group, F.explode(F.sequence("_from", "_to")).alias("missing_serial"))
+    for width in (32, 16):
+        pieces = _cut(pieces, F.lit(1 << width).cast("bigint")).coalesce(spread)
+    return pieces.select(group, F.explode(F.sequence("_from", "_to")).alias("missing_serial"))
 
 
 def missing_preview(gaps: DataFrame, limit: int = 5, group: str = "year") -> DataFrame:

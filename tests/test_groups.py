@@ -134,3 +134,15 @@ def test_a_key_called_n(spark):
     df = spark.createDataFrame([(0, "x"), (1, "x"), (2, "y")], "row_idx int, n string")
     assert [tuple(r) for r in duplicate_keys(df, "n").collect()] == [("x", 2, 0)]
     assert duplicate_rows(df, "n").count() == 2 and duplicate_summary(df, "n").first().duplicate_rows == 2
+
+
+def test_bitmaps_are_shared_by_all_levels(spark):
+    """Numbers at both ends of words, and one word read by windows, block edges and all levels."""
+    from joeira.operators.sequences import gap_ranges
+
+    numbers = [-(1 << 63), -65, -64, -1, 0, 63, 64, 127, 191, (1 << 63) - 1]
+    df = spark.createDataFrame([("a", n) for n in numbers * 3], "g string, n bigint")
+    gaps = gap_ranges(df, "g", "n")
+    assert sorted((r.gap_start, r.gap_end) for r in gaps.collect()) == brute_gaps(numbers)
+    plan = gaps._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("- Exchange ") <= 4 and plan.count("- ReusedExchange ") >= 2
