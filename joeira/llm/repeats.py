@@ -12,12 +12,12 @@ soon as their rank is theirs alone:
    equal windows have equal representatives and about one position in 20 is
    ranked.  Spark deals their hashes out by value; a hash that no second
    document holds is unique, and all the windows it stands for drop out.
-2. *8, 16, 32 and 50 bytes.*  What is left goes, as runs of neighbouring windows
-   with their bytes, to the shard of its representative.  There positions are
-   ranked by pairs of ranks at growing offsets (8 + 8, 16 + 16, 32 + 18 bytes),
-   each time by a sort of the pairs and with exact values, until unique or 50
-   bytes long.  Windows of one rank are equal; those of any document but the
-   one with the smallest identifier are covered.
+2. *Up to 50 bytes.*  What is left goes, as runs of neighbouring windows with
+   their bytes, to the shard of its representative.  There positions are named
+   by pairs of names at growing offsets (1 + 1, 2 + 2 ... 16 + 16, 32 + 18 bytes)
+   and the windows ranked by one sort of the last names; all windows of a rank
+   are compared byte by byte.  Those of any document but the one with the
+   smallest identifier are covered.
 3. The answers go back as bits to the packed texts, where the covered bytes are
    cut out.
 
@@ -29,7 +29,9 @@ Scale: texts are packed once into compressed rows of a few MB in the shared
 folder.  Per byte of text the first step shuffles about 0.2 bytes, the second
 only what is repeated.  A batch sends each run once however often it holds it,
 so a passage that a third of all documents share is a few rows per batch, and
-whole copies are set aside by their hash.  Nothing is sampled or capped.
+whole copies are set aside by their hash.  A prefix that more than ``hot_runs``
+runs hold (a shared passage's ends, each in a context of its own) is dealt out
+by whole windows, so it fills no single shard.  Nothing is sampled or capped.
 
 Cases: a null text counts as empty; texts shorter than 50 bytes stay whole; a
 null identifier is neither smaller nor larger than another, so its text stays
@@ -56,6 +58,7 @@ BATCH = 2 << 20  # bytes of text in a packed row
 SEGMENT = 1 << 20  # bytes hashed at a time
 SHARD = 32 << 20  # bytes of text for each shard of the first step, which gets a 4-byte hash for about 20 of them
 RUN_SHARD = 2 << 20  # and for each shard of the second, which may get them all
+HOT_RUNS = 8192  # a prefix with more runs is dealt out by whole windows
 BASE = np.uint64(0x9E3779B97F4A7C15)
 LAST = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -125,6 +128,15 @@ class Runs:
         order = np.argsort(self.key, kind="stable")
         self.start, self.count, self.key, self.owner = self.start[order], self.count[order], self.key[order], self.owner[order]
 
+    def split(self, hot: np.ndarray, raw: np.ndarray) -> None:
+        """Marked runs become runs of one window each, whose key is a hash of the whole window."""
+        each = np.where(hot, self.count, 1)
+        place = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+        hot = np.repeat(hot, each)
+        self.start, self.owner, self.key = np.repeat(self.start, each) + place, np.repeat(self.owner, each), np.repeat(self.key, each)
+        self.count = np.where(hot, 1, np.repeat(self.count, each))
+        self.key = np.where(hot, _mixed(self.content(raw) + self.key * BASE), self.key)
+
     def take(self, which: np.ndarray) -> None:
         self.start, self.count, self.key, self.owner = self.start[which], self.count[which], self.key[which], self.owner[which]
 
@@ -209,7 +221,7 @@ def _copies(packed: DataFrame, length: int) -> DataFrame:
 
 
 def _prefix_hashes(shards: int, length: int):
-    """First step, texts: for each shard the sorted hashes a batch holds, and which of them two of its documents hold."""
+    """First step, texts: for each shard the sorted hashes a batch holds, which of them two of its documents hold, and in how many runs (255 at most)."""
 
     def work(batches):
         for batch in batches:
@@ -226,26 +238,37 @@ def _prefix_hashes(shards: int, length: int):
                 first = np.flatnonzero(new)
                 shared = np.maximum.reduceat(who, first) != np.minimum.reduceat(who, first)
                 keys = runs.key[first]
+                times = np.minimum(np.diff(np.append(first, len(runs.key))), 255).astype(np.uint8)
                 cuts = np.searchsorted(shard_of(keys, shards), np.arange(shards + 1))
                 full = np.flatnonzero(np.diff(cuts))
                 yield pa.RecordBatch.from_arrays([
                     pa.array(full), pa.array(np.full(len(full), row["batch"])),
                     pa.array([keys[cuts[s] : cuts[s + 1]].astype(np.uint32).tobytes() for s in full], pa.binary()),
                     pa.array([np.packbits(shared[cuts[s] : cuts[s + 1]]).tobytes() for s in full], pa.binary()),
-                ], names=["shard", "batch", "keys", "shared"])
+                    pa.array([zstandard.compress(times[cuts[s] : cuts[s + 1]].tobytes(), 1) for s in full], pa.binary()),
+                ], names=["shard", "batch", "keys", "shared", "times"])
 
     return work
 
 
-def _repeated_hashes(table: pa.Table) -> pa.Table:
-    """First step, shards: bits for the hashes that some other document holds too."""
-    keys = [np.frombuffer(k, dtype=np.uint32) for k in table.column("keys").to_pylist()]
-    shared = [np.unpackbits(np.frombuffer(s, np.uint8), count=len(k)) for s, k in zip(table.column("shared").to_pylist(), keys)]
-    every = np.concatenate(keys)
-    value, place, times = np.unique(every, return_inverse=True, return_counts=True)
-    often = (times > 1) | (np.bincount(place, weights=np.concatenate(shared), minlength=len(value)) > 0)
-    bits = np.split(often[place], np.cumsum([len(k) for k in keys])[:-1])
-    return pa.table({"batch": table.column("batch"), "shard": table.column("shard"), "bits": pa.array([np.packbits(b).tobytes() for b in bits], pa.binary())})
+def _repeated_hashes(hot_runs: int):
+    """First step, shards: bits for the hashes that some other document holds too, and places of those in very many runs."""
+
+    def work(table: pa.Table) -> pa.Table:
+        keys = [np.frombuffer(k, dtype=np.uint32) for k in table.column("keys").to_pylist()]
+        shared = [np.unpackbits(np.frombuffer(s, np.uint8), count=len(k)) for s, k in zip(table.column("shared").to_pylist(), keys)]
+        times = [np.frombuffer(zstandard.decompress(t), np.uint8) for t in table.column("times").to_pylist()]
+        value, place, held = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
+        often = (held > 1) | (np.bincount(place, weights=np.concatenate(shared), minlength=len(value)) > 0)
+        hot = np.bincount(place, weights=np.concatenate(times), minlength=len(value)) > hot_runs
+        cuts = np.cumsum([len(k) for k in keys])[:-1]
+        return pa.table({
+            "batch": table.column("batch"), "shard": table.column("shard"),
+            "bits": pa.array([np.packbits(b).tobytes() for b in np.split(often[place], cuts)], pa.binary()),
+            "hot": pa.array([np.flatnonzero(b).astype(np.int32).tobytes() for b in np.split(hot[place], cuts)], pa.binary()),
+        })
+
+    return work
 
 
 def _left_over(row: dict, shards: int, length: int):
@@ -261,12 +284,16 @@ def _left_over(row: dict, shards: int, length: int):
         new = np.append(True, runs.key[1:] != runs.key[:-1])
         keys = runs.key[new]
         counts = np.bincount(shard_of(keys, shards), minlength=shards)
-        often = np.zeros(len(keys), dtype=bool)
+        often, hot = np.zeros(len(keys), dtype=bool), np.zeros(len(keys), dtype=bool)
         before = np.concatenate([[0], np.cumsum(counts)])
-        for s, bits in zip(row["bit_shards"] or [], row["bits"] or []):
+        for s, bits, places in zip(row["bit_shards"] or [], row["bits"] or [], row["hot"] or []):
             often[before[s] : before[s + 1]] = np.unpackbits(np.frombuffer(bits, np.uint8), count=counts[s]).astype(bool)
+            hot[before[s] + np.frombuffer(places, np.int32)] = True
         keep = often[np.cumsum(new) - 1] & ~copy[runs.owner]
+        hot = hot[np.cumsum(new) - 1][keep]
     runs.take(keep)
+    if len(runs.key) and hot.any():
+        runs.split(hot, raw)
     content = runs.content(raw) if len(runs.key) else np.empty(0, np.uint64)
     ids = row["id"]
     order_of = {v: k for k, v in enumerate(sorted({i for i in ids if i is not None}))}
@@ -305,10 +332,37 @@ def _run_bytes(shards: int, run_shards: int, length: int):
 
 
 def ranked(raw: np.ndarray, room: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Starts of ``length`` bytes that are not unique, and their ranks: prefix doubling from 8 bytes on.
+    """Starts of ``length`` bytes that are not unique, and their ranks.
 
-    Exact: the first rank is that of the value of the 8 bytes, the next ones those of pairs.
+    Prefixes are named at growing offsets (1, 2, 4 ... and ``length`` bytes) by a
+    64-bit hash of the pair of names; only whole windows are sorted.  All windows
+    of a name are then compared with its first, byte by byte, eight at a time;
+    should two differ, ``ranked_by_sorts`` decides.
     """
+    at = np.flatnonzero(room >= length)
+    name, done, power = raw.astype(np.uint64) + np.uint64(1), 1, BASE
+    while done * 2 <= length:
+        name = name[: len(name) - done] * power + name[done:]
+        done *= 2
+        with np.errstate(over="ignore"):
+            power = power * power
+    rank, shared = _dense(_mixed(_mixed(name[at]) * BASE + name[at + (length - done)]))
+    del name
+    at, rank = at[shared], rank[shared]
+    first = np.zeros(int(rank.max()) + 1 if len(rank) else 1, dtype=at.dtype)
+    first[rank] = at  # any of them will do
+    first = first[rank]
+    word, done = raw.astype(np.uint64), 1
+    while done < 8:
+        word = word[: len(word) - done] << np.uint64(8 * done) | word[done:]
+        done *= 2
+    if any((word[at + k] != word[first + k]).any() for k in [*range(0, length - 8, 8), length - 8]):
+        return ranked_by_sorts(raw, room, length)
+    return at, rank
+
+
+def ranked_by_sorts(raw: np.ndarray, room: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same without hashes: prefix doubling from 8 bytes on, a sort of exact pairs of ranks for each offset."""
     value, done = raw.astype(np.uint64), 1
     while done < 8:
         value = value[: len(value) - done] << np.uint64(8 * done) | value[done:]
@@ -387,8 +441,8 @@ def _cut(shards: int, run_shards: int, length: int, names: list[str], with_text:
                     offset = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
                     covered = hit[np.repeat(before[content], each) + offset] | np.repeat(rank > rank[first][content], each)
                     at = (np.repeat(runs.start, each) + offset)[covered]
-                    np.add.at(edge, at, 1)
-                    np.add.at(edge, at + length, -1)
+                    edge[at] += 1  # no window is in two runs
+                    edge[at + length] -= 1
                 gone = np.cumsum(edge[:-1]) > 0
                 gone[np.repeat(copy, sizes)] = True
                 out = {"n_bytes": [], "n_removed": [], "n_spans": [], "kept_sha256": [], "kept": []}
@@ -409,7 +463,7 @@ def _cut(shards: int, run_shards: int, length: int, names: list[str], with_text:
     return work
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True, shard_bytes: int = SHARD, run_shard_bytes: int = RUN_SHARD) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True, shard_bytes: int = SHARD, run_shard_bytes: int = RUN_SHARD, hot_runs: int = HOT_RUNS) -> DataFrame:
     """Every row of ``docs`` with ``n_bytes, n_removed, n_spans, kept_sha256`` in front of nothing else.
 
     With ``with_text`` the text column holds what is left (characters cut in
@@ -423,10 +477,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     run_shards = max(2 * parallelism(docs.sparkSession), total // run_shard_bytes)
     id_type = docs.schema[id_col].dataType.simpleString()
 
-    hashes = packed.select("batch", "id", "sizes", "blob").mapInArrow(_prefix_hashes(shards, length), "shard bigint, batch bigint, keys binary, shared binary")
-    often = hashes.groupBy("shard").applyInArrow(_repeated_hashes, "batch bigint, shard bigint, bits binary")
-    bits = often.groupBy("batch").agg(F.collect_list(F.struct("shard", "bits")).alias("b")).select(
-        "batch", F.col("b.shard").alias("bit_shards"), F.col("b.bits").alias("bits")
+    hashes = packed.select("batch", "id", "sizes", "blob").mapInArrow(_prefix_hashes(shards, length), "shard bigint, batch bigint, keys binary, shared binary, times binary")
+    often = hashes.groupBy("shard").applyInArrow(_repeated_hashes(hot_runs), "batch bigint, shard bigint, bits binary, hot binary")
+    bits = often.groupBy("batch").agg(F.collect_list(F.struct("shard", "bits", "hot")).alias("b")).select(
+        "batch", F.col("b.shard").alias("bit_shards"), F.col("b.bits").alias("bits"), F.col("b.hot").alias("hot")
     )
     known = scratch.save(bits.join(_copies(packed.select("batch", "uid", "id", "sizes", "key1", "key2"), length), "batch", "full"))
     asked = packed.select("batch", "uid", "id", "sizes", "blob").join(known.hint("shuffle_hash"), "batch", "left")

@@ -147,7 +147,31 @@ def test_repeats_of_random_texts(spark, monkeypatch):
     parts = ["".join(rnd.choice("abé") for _ in range(rnd.randint(20, 90))) for _ in range(12)] + ["ab" * 40, "a" * 90]
     rows = [(k if k % 9 else k - 1, "".join(rnd.choice(parts) for _ in range(rnd.randint(0, 6)))) for k in range(1, 120)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
-    assert report(repeats.repeats_report(docs)) == sorted(plain_repeats(rows), key=str)
+    want = sorted(plain_repeats(rows), key=str)
+    assert report(repeats.repeats_report(docs)) == want
+    for hot_runs in (0, 40):  # every prefix, or some, dealt out by whole windows
+        assert report(repeats.remove_repeats(docs, with_text=False, hot_runs=hot_runs)) == want
+
+
+def test_a_passage_in_very_many_contexts_fills_no_shard():
+    """Runs around a shared passage spread over the shards once its prefixes are hot."""
+    rnd = random.Random(3)
+    passage = bytes(rnd.randrange(256) for _ in range(60))
+    texts_ = [bytes(rnd.randrange(256) for _ in range(60)) + passage + bytes(rnd.randrange(256) for _ in range(60)) for _ in range(300)]
+    raw = np.frombuffer(b"".join(texts_), dtype=np.uint8)
+    runs = repeats.Runs(raw, np.array([len(t) for t in texts_]), np.zeros(300, dtype=bool))
+    keys, times = np.unique(runs.key, return_counts=True)
+    hot = np.isin(runs.key, keys[times >= 300])
+    assert hot.any()
+    windows = sorted((runs.start[hot][:, None] + np.arange(runs.count[hot].max()))[np.arange(runs.count[hot].max()) < runs.count[hot][:, None]].tolist())
+    runs.take(hot)
+    runs.split(np.ones(len(runs.key), dtype=bool), raw)
+    assert sorted(runs.start.tolist()) == windows and set(runs.count.tolist()) == {1}
+    by_text = {}
+    for s, key in zip(runs.start.tolist(), runs.key.tolist()):
+        assert by_text.setdefault(raw[s : s + 50].tobytes(), key) == key
+    assert len(set(by_text.values())) == len(by_text)
+    assert np.bincount(repeats.shard_of(np.array(list(by_text.values()), dtype=np.uint64), 16)).max() < len(by_text) / 8
 
 
 @settings(max_examples=60, deadline=None)
@@ -174,9 +198,21 @@ def test_runs_hold_each_window_once(parts, segment):
 @given(st.text(alphabet="ab", min_size=50, max_size=400))
 def test_ranks_tell_strings_apart(text):
     raw = np.frombuffer(text.encode(), dtype=np.uint8)
-    at, rank = repeats.ranked(raw, (len(raw) - np.arange(len(raw))).astype(np.int32), 50)
-    found = {}
-    for p, r in zip(at.tolist(), rank.tolist()):
-        assert found.setdefault(r, text[p : p + 50]) == text[p : p + 50]
     every = [text[p : p + 50] for p in range(len(text) - 49)]
-    assert sorted(at.tolist()) == [p for p, s in enumerate(every) if every.count(s) > 1]
+    for ranks in (repeats.ranked, repeats.ranked_by_sorts):
+        at, rank = ranks(raw, (len(raw) - np.arange(len(raw))).astype(np.int32), 50)
+        found = {}
+        for p, r in zip(at.tolist(), rank.tolist()):
+            assert found.setdefault(r, text[p : p + 50]) == text[p : p + 50]
+        assert len(set(found.values())) == len(found)
+        assert sorted(at.tolist()) == [p for p, s in enumerate(every) if every.count(s) > 1]
+
+
+def test_ranks_of_equal_names_are_compared_by_bytes(monkeypatch):
+    """With a hash that gives every string one name the sorts decide."""
+    raw = np.frombuffer(b"ab" * 40 + b"c" * 60, dtype=np.uint8)
+    room = (len(raw) - np.arange(len(raw))).astype(np.int32)
+    want = repeats.ranked_by_sorts(raw, room, 50)
+    monkeypatch.setattr(repeats, "_mixed", np.zeros_like)
+    got = repeats.ranked(raw, room, 50)
+    assert all((a == b).all() for a, b in zip(got, want))
