@@ -66,6 +66,28 @@ def test_parts_cut_into_many_files(spark):
         spark.conf.unset("spark.sql.files.maxRecordsPerFile")
 
 
+@pytest.mark.parametrize("weights, default", [({"s0": 3}, 1), ({"s0": 3, "s1": 7, "s2": 2, None: 5}, 2)])
+def test_schedule_as_a_table_gives_the_same_rows(spark, weights, default):
+    docs = documents(spark)
+    want = sorted(map(str, mix_order(docs, weights, default, block_rows=2).collect()))
+    assert sorted(map(str, mix_order(docs, weights, default, block_rows=2, max_cells=0).collect())) == want
+    assert mix_order(docs.limit(0), weights, default, max_cells=0).count() == 0
+
+
+def test_two_thousand_sources(spark):
+    n = 2000
+    weights = {f"s{k:04}": 1 + k % 3 for k in range(0, n, 7)}
+    rows = spark.range(5 * n + 900).selectExpr("id AS doc_id", f"IF(id < {5 * n}, format_string('s%04d', id % {n}), 's0007') AS source")
+    got = mix_order(rows, weights, 2, block_rows=2).orderBy("position").collect()
+    assert [r.position for r in got] == list(range(5 * n + 900))
+    names = [f"s{k:04}" for k in range(n)]
+    want = plain_schedule([weights.get(s, 2) for s in names])
+    q = len(want)
+    slots = [r.slot for r in got]
+    assert slots == sorted(slots) and all(names[want[r.slot % q]] == r.source and r.release <= r.slot < r.deadline for r in got)
+
+
 def test_plan_is_native(spark):
-    plan = mix_order(documents(spark), {"s0": 2})._jdf.queryExecution().executedPlan().toString()
-    assert "Python" not in plan and "InArrow" not in plan and "Cartesian" not in plan
+    for cells in (0, 2_000_000):
+        plan = mix_order(documents(spark), {"s0": 2}, max_cells=cells)._jdf.queryExecution().executedPlan().toString()
+        assert "Python" not in plan and "InArrow" not in plan and "Cartesian" not in plan and "NestedLoop" not in plan
